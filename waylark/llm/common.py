@@ -181,7 +181,8 @@ def filter_bits(items: int, per_item: int = 16, least: int = 1 << 20, most: int
 
 def position_bitmap(positions: DataFrame, col: str = "pos") -> DataFrame:
     """Pack positions (long, from 0) into rows (bucket, bitmap of 4096 bytes)."""
-    return positions.groupBy(F.bitmap_bucket_number(F.col(col)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(col))).alias("bits"))
+    one = F.col(col).cast("long") + 1  # Spark numbers buckets and bits from position 1
+    return positions.groupBy(F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
 
 
 def bit_is_set(bits, pos):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, substring_dedup
+from . import bpe, exact_dedup, near_dedup, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,16 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op6_exact_dedup": op6_exact_dedup}
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary lies, the same place on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup}
 ORACLE = {"op6_exact_dedup": OP6_SQL}

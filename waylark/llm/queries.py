@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, substring_dedup
+from . import bpe, exact_dedup, near_dedup, packing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,5 +42,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing}
 ORACLE = {"op6_exact_dedup": OP6_SQL}

@@ -62,8 +62,11 @@ def grouped_batches(it: Iterator[pd.DataFrame], key: str, least_rows: int, least
         yield pd.concat(held, ignore_index=True)
 
 
-def map_groups(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, least_rows: int = 2000, weigh: str | None = None, least_bytes: int = 8 << 20) -> DataFrame:
-    """Shuffle by ``key``, sort, and hand ``fn`` frames that hold whole groups only."""
+def map_groups(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, least_rows: int = 2000, weigh: str | None = None, least_bytes: int = 8 << 20, heavy: bool = False) -> DataFrame:
+    """Shuffle by ``key``, sort, and hand ``fn`` frames that hold whole groups only.
+
+    ``heavy``: a row takes much time for its size, so that partitions are not to be joined by their bytes.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in grouped_batches(it, key, least_rows, least_bytes, weigh):
@@ -71,7 +74,8 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFram
             if out is not None and len(out):
                 yield out
 
-    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key) if heavy else df.repartition(key)
+    return dealt.sortWithinPartitions(key).mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- hashing
@@ -190,3 +194,17 @@ def bit_is_set(bits, pos):
     at = F.bitmap_bit_position(pos)
     byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def likely(rows: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``col`` may be among the ``keys`` (of one column), by a Bloom filter of bounded size: none of those is missing, and few others are there."""
+    key = F.col(keys.columns[0])
+    bits = filter_bits(keys.count())
+    at = lambda c, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(bits))
+    maps = written(position_bitmap(keys.select(F.explode(F.array(at(key, 1), at(key, 2))).alias("pos"))), "filter")
+    out = rows
+    for seed in (1, 2):
+        out = out.withColumn("_pos", at(F.col(col), seed) + 1)
+        side = F.broadcast(maps.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")))
+        out = out.join(side, F.bitmap_bucket_number("_pos") == F.col("_bucket")).where(bit_is_set(F.col("_bits"), F.col("_pos"))).drop("_pos", "_bucket", "_bits")
+    return out

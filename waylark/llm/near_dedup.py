@@ -367,7 +367,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = placed.select("id", "comp", "nth", (F.col("blocks") > 1).alias("wide"), (F.col("id") == F.col("comp")).alias("head"), F.xxhash64("comp", "nth").alias("block"))
     placed = common.written(placed, "placed")
     schema = "kind int, a long, b long"
-    inner = common.written(common.map_groups(known.join(placed, "id"), "block", _in_blocks, schema, weigh="text"), "links")
+    # a filter of bounded size keeps texts without a partner from travelling
+    texts = common.likely(known, "id", placed.select("id"))
+    inner = common.written(common.map_groups(texts.join(placed.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links")
     links = [equal, inner.where("kind = 1").select("a", "b")]
 
     apart = inner.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("comp")).distinct()
@@ -378,7 +380,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         counts = _dealt(apart, large.join(chunks, "comp"))
         rest = counts.select("id", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
         meet = every.union(rest).distinct().select("id", "comp", F.lit(False).alias("wide"), F.lit(False).alias("head"), F.xxhash64("comp", "nth", "chunk").alias("block"))
-        links.append(common.written(common.map_groups(known.join(meet, "id"), "block", _in_blocks, schema, weigh="text"), "links").select("a", "b"))
+        links.append(common.written(common.map_groups(texts.join(meet.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links").select("a", "b"))
 
     links_all = links[0]
     for x in links[1:]:

@@ -31,6 +31,10 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 EPOCHS = 8
 BATCH = 32
+#: Fewer rows are gone through more often, until there are so many steps.
+LEAST_STEPS = 1200
+#: A toxic text that is missed counts as so many clean ones that are rejected.
+MISS_COST = 2
 #: At most so many labelled rows of each class, and bytes of text, are learnt from; one row in CALIBRATION of them sets the thresholds.
 MOST_ROWS = 3000
 MOST_BYTES = 32 << 20
@@ -139,7 +143,7 @@ class Classifier:
         seen = np.full(len(self.table), 1e-3, dtype=np.float32)
         step = 0
         lengths = np.array([len(t) for t in texts])
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(texts))))):
             order = rng.permutation(len(texts))
             for a in range(0, len(order), BATCH):
                 pick = order[a : a + BATCH]
@@ -193,8 +197,12 @@ class Classifier:
             seen[u] += (g * g).mean(axis=1)
             self.table[u] -= 0.1 * g / np.sqrt(seen[u])[:, None]
 
-    def calibrate(self, logits: np.ndarray, labels: np.ndarray, language: np.ndarray) -> None:
-        """A threshold for each language of 20 rows or more of either class, else that of all rows: where the balanced error is least, in the middle of such a stretch."""
+    def calibrate(self, logits: np.ndarray, labels: np.ndarray, language: np.ndarray, share: float) -> None:
+        """A threshold for each language of 20 rows or more of either class, else that of all rows.
+
+        It lies where errors are fewest if ``share`` of all texts are toxic, in the
+        middle of such a stretch.
+        """
 
         def best(z: np.ndarray, y: np.ndarray) -> float:
             order = np.argsort(z, kind="stable")
@@ -202,7 +210,7 @@ class Classifier:
             below = np.cumsum(np.r_[0, y]) / max(1, y.sum())
             above = 1 - np.cumsum(np.r_[0, 1 - y]) / max(1, (1 - y).sum())
             cuts = np.r_[z[0] - 1, (z[1:] + z[:-1]) / 2, z[-1] + 1]
-            error = below + above
+            error = MISS_COST * share * below + (1 - share) * above
             at = np.flatnonzero(error <= error.min() + 1e-9)
             return float((cuts[at[0]] + cuts[at[-1]]) / 2)
 
@@ -233,6 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     are left out. Without labelled rows of both classes every score is about 0.5.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS)
@@ -260,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     train = np.flatnonzero(~held)
     model.train([learnt[i] for i in train], labelled[train])
     z = np.array([model.logits(learnt[i], np.array([len(learnt[i])]))[0] for i in range(len(texts))])
-    model.calibrate(z[held], labelled[held], spoken[held])
+    model.calibrate(z[held], labelled[held], spoken[held], share)
     return model
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, packing, substring_dedup, toxicity
+from . import bpe, exact_dedup, html_text, near_dedup, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,5 +50,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity}
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity}
 ORACLE = {"op6_exact_dedup": OP6_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, near_dedup, packing, substring_dedup, toxicity
+from . import bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,27 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op9_toxicity": op9_toxicity}
-ORACLE = {"op6_exact_dedup": OP6_SQL}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (
+  SELECT doc_id, i, lines[i] AS line, len(lines) AS n,
+    (('0x' || substr(md5(lines[i]), 1, 8))::BIGINT
+      + 31 * CASE WHEN i > 1 THEN ('0x' || substr(md5(lines[i - 1]), 1, 8))::BIGINT ELSE 0 END
+      + 961 * CASE WHEN i > 2 THEN ('0x' || substr(md5(lines[i - 2]), 1, 8))::BIGINT ELSE 0 END) % 4 = 0 AS cut
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+c AS (SELECT doc_id, i, line, n, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+k AS (SELECT doc_id, part, min(i) AS first, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, part),
+g AS (SELECT doc_id, part, n_lines, n_lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) > 1 AS gone FROM k),
+m AS (SELECT c.doc_id, c.i, c.line, g.gone FROM c JOIN g USING (doc_id, part))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity}
+ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}

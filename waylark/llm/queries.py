@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, substring_dedup, toxicity
+from . import bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, substring_dedup, tool_calls, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,5 +76,58 @@ FROM m GROUP BY doc_id
 """
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity}
-ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
+#: The tools that the conversations are read as calls of.
+TOOLS = {
+    "search": {"required": ["query"], "properties": {"query": {"type": "string", "maxLength": 300}, "limit": {"type": "integer", "minimum": 1, "maximum": 40}}, "additionalProperties": False},
+    "summarise": {"required": ["text", "words"], "properties": {"text": {"type": "string"}, "words": {"type": "integer", "minimum": 5}}},
+    "lookup": {"required": ["term"], "properties": {"term": {"type": "string"}, "language": {"type": "string", "enum": ["de", "en", "es", "fr"]}}},
+}
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn is read as a call, after that of two turns before; the turn after it, if the assistant's, as its result."""
+    t = table(spark, sf_dir, "conversations")
+    named = lambda turn: F.concat_ws(":", F.lit("call"), F.col("conv_id").cast("string"), turn.cast("string"))
+    user = t.where("role = 'user'")
+    n = F.length("text")
+    name = F.when(F.col("turn") % 3 == 0, "search").when(F.col("turn") % 3 == 1, "summarise").otherwise("lookup")
+    search = F.to_json(F.struct(F.col("text").alias("query"), (n % 45).alias("limit")))
+    summarise = F.when(n % 7 == 0, F.to_json(F.struct(F.col("text").alias("text")))).otherwise(F.to_json(F.struct((n % 20).alias("words"), F.col("text").alias("text"))))
+    lookup = F.to_json(F.struct(F.col("text").alias("term"), F.when(n % 5 == 0, "it").otherwise("en").alias("language")))
+    arguments = F.when(F.col("turn") % 3 == 0, search).when(F.col("turn") % 3 == 1, summarise).otherwise(lookup)
+    calls = user.select("conv_id", "turn", named(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), named(F.col("turn") - 2).alias("after"))
+    results = t.where("role = 'assistant'").select("conv_id", "turn", named(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return tool_calls.link_calls(calls, results, TOOLS)
+
+
+OP10_SQL = """
+WITH RECURSIVE u AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+lv AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) AS level FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, lv.level + 1 FROM lv JOIN u ON u.conv_id = lv.conv_id AND u.turn = lv.turn + 2),
+c AS (
+  SELECT u.conv_id, u.turn, 'call:' || u.conv_id || ':' || u.turn AS call_id, lv.level, a.text AS result, a.conv_id IS NOT NULL AS answered,
+    CASE u.turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'summarise' ELSE 'lookup' END AS name,
+    CASE u.turn % 3
+      WHEN 0 THEN '{"limit":' || (n % 45) || ',"query":' || to_json(u.text) || '}'
+      WHEN 1 THEN CASE WHEN n % 7 = 0 THEN '{"text":' || to_json(u.text) || '}' ELSE '{"text":' || to_json(u.text) || ',"words":' || (n % 20) || '}' END
+      ELSE '{"language":"' || CASE WHEN n % 5 = 0 THEN 'it' ELSE 'en' END || '","term":' || to_json(u.text) || '}' END AS arguments,
+    list_filter(CASE u.turn % 3
+      WHEN 0 THEN [CASE WHEN n > 300 THEN 'query is too long' END, CASE WHEN n % 45 < 1 THEN 'limit is beyond its minimum' END, CASE WHEN n % 45 > 40 THEN 'limit is beyond its maximum' END]
+      WHEN 1 THEN [CASE WHEN n % 7 = 0 THEN 'words is missing' END, CASE WHEN n % 7 <> 0 AND n % 20 < 5 THEN 'words is beyond its minimum' END]
+      ELSE [CASE WHEN n % 5 = 0 THEN 'language is none of the values' END] END, lambda x: x IS NOT NULL) AS errors
+  FROM u JOIN lv ON lv.conv_id = u.conv_id AND lv.turn = u.turn LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+s AS (SELECT *, CASE WHEN NOT answered THEN 'pending' WHEN len(errors) > 0 THEN 'invalid' ELSE 'ok' END AS status FROM c)
+SELECT conv_id, turn, call_id, 'call' AS kind, level, status,
+  '{"arguments":' || arguments || ',"errors":' || to_json(errors) || ',"id":"' || call_id || '","level":' || level || ',"n_results":' || CASE WHEN answered THEN 1 ELSE 0 END
+    || ',"name":"' || name || '",' || CASE WHEN answered THEN '"result":' || to_json(result) || ',' ELSE '"result":null,' END || '"status":"' || status || '"}' AS record FROM s
+UNION ALL
+SELECT a.conv_id, a.turn, 'call:' || a.conv_id || ':' || (a.turn - 1), 'orphan', NULL, 'orphan',
+  '{"content":' || to_json(a.text) || ',"id":"call:' || a.conv_id || ':' || (a.turn - 1) || '","status":"orphan"}'
+FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)
+"""
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_tool_calls": op10_tool_calls}
+ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_tool_calls": OP10_SQL}

@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +33,17 @@ SEQUENCE = 4096
 GROUP_TOKENS = 2_000_000
 #: Characters a token takes, at least about, to tell from text lengths how many groups there will be. It only sets the number of groups.
 CHARS_PER_TOKEN = 3
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 #: Words for one call of the library.
 TOGETHER = 2000
+#: Text bytes whose words are looked up together, about.
+PASS_BYTES = 8 << 20
 #: The pattern that the vocabulary splits lower-cased text by.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Up to here, characters are in normal form and change to lower case one by one.
 LATIN = "\u024f"
-#: White space to the tokenizer's normaliser; ``str.split`` also takes the four separators below, which are no white space there.
-ODD = regex.compile("[\x1c-\x1f]")
+#: Arrow splits at these too, but they are no white space to the vocabulary's normaliser.
+ODD = "[\x1c-\x1f]"
 
 
 class Tournament:
@@ -156,21 +159,38 @@ class WordTokens:
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 16-bit integers."""
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text as 16-bit integers; null as empty."""
         if len(self.runs) > REMEMBERED:
             self.runs.clear()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        split = [None if ODD.search(t) else t.split() for t in texts]
-        self._learn({w for runs in split if runs for w in runs if w not in self.runs})
-        get = self.runs.__getitem__
-        return [self.whole(t) if runs is None else b"".join(map(get, runs)) for t, runs in zip(texts, split, strict=True)]
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        self._learn({w for w in runs if w not in self.runs})
+        known = list(map(self.runs.__getitem__, runs))
+        flat = np.frombuffer(b"".join(known), dtype="<u2")
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 2
+        first = np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        n = size[index]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        out = [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for i in odd:
+            out[i] = np.frombuffer(self.whole(texts[i].as_py()), dtype="<u2")
+        return out
 
     def _learn(self, new: set[str]) -> None:
         parts: dict[str, list[str]] = {}
         for run in new:
-            if max(run) > LATIN or "<|" in run:
+            if not run:
+                self.runs[run] = b""
+            elif max(run) > LATIN or "<|" in run:
                 self.runs[run] = self.whole(run)
             else:
                 parts[run] = WORD.findall(run.lower())
@@ -190,6 +210,12 @@ class WordTokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
 
+@lru_cache(maxsize=4)
+def word_tokens(path: str) -> WordTokens:
+    """One for each Python worker, so that its next tasks know the words of those before."""
+    return WordTokens(path)
+
+
 def _pack_groups(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Pieces of whole groups."""
     pdf = pdf.sort_values(["grp", "doc_id", "ids"], kind="stable", na_position="first").reset_index(drop=True)
@@ -227,11 +253,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: st
     tail = np.array([end_id], dtype="<u2").tobytes()
 
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(vocabulary)
+        coder = word_tokens(vocabulary)
         for batch in it:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for a, b in common.passes(texts, 4 << 20):
-                ids = [x + tail for x in coder.encode(texts[a:b])]
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+            ends = np.flatnonzero(np.diff(np.cumsum(sizes) // PASS_BYTES, append=-1)) + 1
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                ids = [x.tobytes() + tail for x in coder.encode(batch["text"].slice(a, b - a))]
                 yield pa.RecordBatch.from_arrays([batch["grp"].slice(a, b - a), batch["doc_id"].slice(a, b - a), pa.array(ids, pa.binary())], names=["grp", "doc_id", "ids"])
 
     # the text takes part in the hash, so that rows of one id spread too

@@ -34,11 +34,8 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunk_ends(hashes: Column) -> Column:
-    """1-based numbers of the last line of each chunk, in order."""
-    n = F.size(hashes)
-    # an element of the sequence must not be looked up past the ends, so the array is led by SPAN - 1 zeros
-    padded = F.concat(F.array_repeat(F.lit(0).cast("long"), SPAN - 1), hashes)
+def chunk_ends(padded: Column, n: Column) -> Column:
+    """1-based numbers of the last line of each chunk, in order. ``padded`` holds SPAN - 1 zeros and then a hash for each of ``n`` lines."""
 
     def rolled(i: Column) -> Column:
         total = F.element_at(padded, i + (SPAN - 1))
@@ -50,12 +47,15 @@ def chunk_ends(hashes: Column) -> Column:
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, first, n_lines, chunk) for each chunk of each text."""
+    """(doc_id, th, first, n_lines, chunk) for each chunk of each text that has LEAST_LINES lines or more."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("lines"))
-    ends = lines.withColumn("ends", chunk_ends(F.transform("lines", line_hash)))
-    each = ends.select("doc_id", "th", "lines", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("a"), F.col("ends").alias("b"))).alias("e"))
-    first, last = F.col("e.a"), F.col("e.b")
-    return each.select("doc_id", "th", (first + 1).alias("first"), (last - first).alias("n_lines"), F.array_join(F.slice("lines", first + 1, last - first), "\n").alias("chunk"))
+    # a column of its own, for within a lambda an expression is evaluated for each element
+    hashed = lines.withColumn("padded", F.concat(F.array_repeat(F.lit(0).cast("long"), SPAN - 1), F.transform("lines", line_hash)))
+    ends = hashed.withColumn("ends", chunk_ends(F.col("padded"), F.size("lines"))).drop("padded")
+    bounds = ends.withColumn("bounds", F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("a"), F.col("ends").alias("b")))
+    cut = lambda z: F.struct((z["a"] + 1).alias("first"), (z["b"] - z["a"]).alias("n_lines"), F.array_join(F.slice(F.col("lines"), z["a"] + 1, z["b"] - z["a"]), "\n").alias("chunk"))
+    long = F.filter("bounds", lambda z: z["b"] - z["a"] >= LEAST_LINES)
+    return bounds.select("doc_id", "th", F.explode(F.transform(long, cut)).alias("c")).select("doc_id", "th", "c.first", "c.n_lines", "c.chunk")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +67,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     early, so both rows keep or lose the same. A null id comes before others. An
     empty table gives no rows. Other columns are ignored.
     """
-    many = chunks(docs, id_col, text_col).where(F.col("n_lines") >= LEAST_LINES).withColumn("key", F.xxhash64("chunk"))
+    many = chunks(docs, id_col, text_col).withColumn("key", F.xxhash64("chunk"))
     bits = common.filter_bits(docs.count() * 4)
     pos = F.pmod(F.col("key"), F.lit(bits)) + 1
     counted = many.select(pos.alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")

@@ -176,6 +176,12 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its next tasks know the words of those before."""
+    return Encoder(load(path))
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded text where ``keep_ids`` is set.
 
@@ -190,14 +196,13 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
-        encoder = Encoder(bpe)
+        coder = encoder(vocabulary)
         for batch in it:
             texts = [t or "" for t in batch["t"].to_pylist()]
             out: list[tuple] = []
             for a, b in common.passes(texts, TRIE_BYTES):
-                for ids in encoder.encode(texts[a:b]):
-                    text = bpe.decode(ids).decode("utf-8", "replace")
+                for ids in coder.encode(texts[a:b]):
+                    text = coder.bpe.decode(ids).decode("utf-8", "replace")
                     row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
                     out.append((*row, ids.astype(np.int32).tolist(), text) if keep_ids else row)
             columns = [batch["d"], pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, substring_dedup, tool_calls, toxicity
+from . import bpe, exact_dedup, html_text, line_dedup, media_copies, near_dedup, packing, substring_dedup, tool_calls, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ FROM m GROUP BY doc_id
 """
 
 
+def op5_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies among the pictures of all embeddings, of which three in four are cropped or edited."""
+    return media_copies.media_groups(media_copies.pictures(table(spark, sf_dir, "embeddings")))
+
+
 #: The tools that the conversations are read as calls of.
 TOOLS = {
     "search": {"required": ["query"], "properties": {"query": {"type": "string", "maxLength": 300}, "limit": {"type": "integer", "minimum": 1, "maximum": 40}}, "additionalProperties": False},
@@ -129,5 +134,5 @@ FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn
 """
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_tool_calls": op10_tool_calls}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op5_media_copies": op5_media_copies, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_tool_calls": op10_tool_calls}
 ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_tool_calls": OP10_SQL}

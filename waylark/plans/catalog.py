@@ -1,4 +1,9 @@
 """All queries of the library, by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from . import text_plans
+
+MODULES = (text_plans,)
+QUERIES: dict = {k: f for m in MODULES for k, f in m.Q.items()}
+ORACLE: dict = {k: s for m in MODULES for k, s in m.S.items()}

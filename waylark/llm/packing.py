@@ -37,7 +37,7 @@ REMEMBERED = 1_000_000
 #: Words for one call of the library.
 TOGETHER = 2000
 #: Text bytes whose words are looked up together, about.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 16 << 20
 #: The pattern that the vocabulary splits lower-cased text by.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Up to here, characters are in normal form and change to lower case one by one.
@@ -170,8 +170,11 @@ class WordTokens:
         split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         runs = coded.dictionary.to_pylist()
-        self._learn({w for w in runs if w not in self.runs})
-        known = list(map(self.runs.__getitem__, runs))
+        known = list(map(self.runs.get, runs))
+        new = [i for i, ids in enumerate(known) if ids is None]
+        self._learn({runs[i] for i in new})
+        for i in new:
+            known[i] = self.runs[runs[i]]
         flat = np.frombuffer(b"".join(known), dtype="<u2")
         size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 2
         first = np.cumsum(size) - size

@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, batches for Python hold so many rows at most; for actions on large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def grouped_batches(it: Iterator[pd.DataFrame], key: str, least_rows: int, least_bytes: int = 0, weigh: str | None = None) -> Iterator[pd.DataFrame]:
     """Frames of whole groups from batches sorted by ``key``; small groups come together, so that numpy works on long arrays."""
     held: list[pd.DataFrame] = []

@@ -137,7 +137,7 @@ def align_sequences(spark, sf_dir):
 @query("greedy_pairing")
 def greedy_pairing(spark, sf_dir):
     """Names of one nation's customers and suppliers paired in order, where one begins with the other."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 25 = 0").select(F.col("c_nationkey").alias("nation"), F.substring("c_name", 14, 5).alias("name"), F.col("c_custkey").alias("n"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.substring("c_name", 14, 5).alias("name"), F.col("c_custkey").alias("n"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.substring("s_name", 14, 4).alias("name"), F.col("s_suppkey").alias("n"))
     return align.greedy_pairs(c, s, "nation", "name", "n")
 
@@ -175,14 +175,14 @@ def discontinuities(spark, sf_dir):
 
 @query("route_code_align", """
 WITH s AS (SELECT s_suppkey AS id, 'RW' || lpad(CAST(s_suppkey % 36 + 1 AS VARCHAR), 2, '0') || CASE s_suppkey % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'L' WHEN 2 THEN 'R' ELSE '' END AS rw, s_suppkey % 5 AS code FROM supplier),
-v AS (SELECT c_custkey AS vid, 'RW' || lpad(CAST(c_custkey % 36 + 1 AS VARCHAR), 2, '0') || CASE c_custkey % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE 'C' END AS rw, c_custkey % 5 AS code FROM customer WHERE c_custkey < 300),
+v AS (SELECT c_custkey AS vid, 'RW' || lpad(CAST(c_custkey % 36 + 1 AS VARCHAR), 2, '0') || CASE c_custkey % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE 'C' END AS rw, c_custkey % 5 AS code FROM customer),
 j AS (SELECT s.id, v.vid, row_number() OVER (PARTITION BY s.id ORDER BY CASE WHEN s.rw = v.rw THEN 1 ELSE 2 END, v.vid) AS rn, s.rw AS srw, v.rw AS vrw FROM s JOIN v ON s.code = v.code AND substr(s.rw, 3, 2) = substr(v.rw, 3, 2) AND (s.rw = v.rw OR right(s.rw, 1) = 'B' OR right(v.rw, 1) = 'B'))
 SELECT s.id, j.vid AS variant, coalesce(j.vrw, s.rw) AS runway FROM s LEFT JOIN j ON s.id = j.id AND j.rn = 1""")
 def route_code_align(spark, sf_dir):
     """Each record takes the variant of its code with the same runway, else one of a compatible group, the first by number."""
     side = lambda k, m: F.concat(F.lit("RW"), F.lpad((F.col(k) % 36 + 1).cast("string"), 2, "0"), m)
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), side("s_suppkey", F.element_at(F.array(F.lit("B"), F.lit("L"), F.lit("R"), F.lit("")), (F.col("s_suppkey") % 4 + 1).cast("int"))).alias("rw"), (F.col("s_suppkey") % 5).alias("code"))
-    v = table(spark, sf_dir, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("variant"), side("c_custkey", F.element_at(F.array(F.lit("L"), F.lit("R"), F.lit("C")), (F.col("c_custkey") % 3 + 1).cast("int"))).alias("vrw"), (F.col("c_custkey") % 5).alias("vcode"))
+    v = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("variant"), side("c_custkey", F.element_at(F.array(F.lit("L"), F.lit("R"), F.lit("C")), (F.col("c_custkey") % 3 + 1).cast("int"))).alias("vrw"), (F.col("c_custkey") % 5).alias("vcode"))
     on = (F.col("code") == F.col("vcode")) & (tx.runway_number(F.col("rw")) == tx.runway_number(F.col("vrw"))) & tx.runways_compatible(F.col("rw"), F.col("vrw"))
     best = merge.top_one(s.join(v, on), ["id"], [F.when(F.col("rw") == F.col("vrw"), 1).otherwise(2), F.col("variant")])
     return s.select("id", "rw").join(best.select("id", "variant", "vrw"), "id", "left").select("id", "variant", F.coalesce("vrw", "rw").alias("runway"))
@@ -200,39 +200,39 @@ def filter_legs(spark, sf_dir):
 
 
 def order_legs(spark, sf_dir):
-    """Legs that can be written as records, made of orders: a procedure for each customer of the first hundred."""
-    o = table(spark, sf_dir, "orders").where("o_custkey < 100")
+    """Legs that can be written as records, made of orders: a branch for each customer."""
+    o = table(spark, sf_dir, "orders")
     k = F.col("o_custkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("ADLOV", "PIMOK", "SABKA", "OMKOM")]), (k % 4 + 1).cast("int")), F.lit(" "), (F.floor(k / 40) + 1).cast("string"), F.element_at(F.array(*[F.lit(x) for x in "ABCDEFGHJK"]), (F.floor(k / 4) % 10 + 1).cast("int")))
+    name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("ADLOV", "PIMOK", "SABKA", "OMKOM")]), (k % 4 + 1).cast("int")), F.lit(" "), (F.floor(k / 40) % 9 + 1).cast("string"), F.element_at(F.array(*[F.lit(x) for x in "ABCDEFGHJK"]), (F.floor(k / 4) % 10 + 1).cast("int")))
     n = F.row_number().over(w)
     return o.select(
-        name.alias("procedure_name"), F.lit("RW16").alias("runway"), F.lit(None).cast("string").alias("transition_name"), (n * 10).alias("seq"), F.lpad((n * 10).cast("string"), 3, "0").alias("sequence"),
+        name.alias("procedure_name"), F.concat(F.lit("RW"), F.lpad((F.floor(k / 360) % 99 + 1).cast("string"), 2, "0"), F.element_at(F.array(F.lit("L"), F.lit("R"), F.lit("C")), (F.floor(k / 35640) % 3 + 1).cast("int"))).alias("runway"), F.lit(None).cast("string").alias("transition_name"), n.alias("seq"), F.lpad(n.cast("string"), 3, "0").alias("sequence"),
         F.concat(F.lit("F"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")).alias("fix"), F.lit(None).cast("string").alias("fix_section"), F.element_at(F.array(*[F.lit(p) for p in PTS]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("path_terminator"),
         F.when(F.col("o_orderkey") % 3 == 0, "L").when(F.col("o_orderkey") % 3 == 1, "R").alias("turn_direction"), tol.round_half_up(F.col("o_totalprice") % 360, 1).alias("course_deg"), F.lit(None).cast("string").alias("recommended_navaid"),
         (F.col("o_orderkey") % 300 * 100 + 1000).cast("double").alias("altitude_value"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("altitude_sign"), F.lit(None).cast("double").alias("altitude_upper_ft"), F.lit(None).cast("double").alias("speed_limit"),
         F.lit(None).cast("boolean").alias("holding_at_fix"), F.lit(None).cast("boolean").alias("end_of_procedure"), tol.round_half_up(F.col("o_totalprice") % 90 + 1, 1).alias("distance_nm"))
 
 
-_ORDER_LEGS = f"""o AS (SELECT *, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders WHERE o_custkey < 100),
-g AS (SELECT (ARRAY['ADLOV','PIMOK','SABKA','OMKOM'])[CAST(k % 4 + 1 AS INT)] AS base, CAST(k // 40 + 1 AS VARCHAR) || substr('ABCDEFGHJK', CAST(k // 4 % 10 + 1 AS INT), 1) AS suffix, lpad(CAST(n * 10 AS VARCHAR), 3, '0') AS sequence, 'F' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS fix,
-  (ARRAY{PTS!r})[CAST(o_orderkey % 6 + 1 AS INT)] AS pt, CASE o_orderkey % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE ' ' END AS turn, {sql_round('o_totalprice % 360', 1)} AS course, o_orderkey % 300 * 100 + 1000 AS alt, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS sign, {sql_round('o_totalprice % 90 + 1', 1)} AS dist, n, total FROM o WHERE n < 100)"""
+_ORDER_LEGS = f"""o AS (SELECT *, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders),
+g AS (SELECT (ARRAY['ADLOV','PIMOK','SABKA','OMKOM'])[CAST(k % 4 + 1 AS INT)] AS base, CAST(k // 40 % 9 + 1 AS VARCHAR) || substr('ABCDEFGHJK', CAST(k // 4 % 10 + 1 AS INT), 1) AS suffix, lpad(CAST(n AS VARCHAR), 3, '0') AS sequence, 'RW' || lpad(CAST(k // 360 % 99 + 1 AS VARCHAR), 2, '0') || substr('LRC', CAST(k // 35640 % 3 + 1 AS INT), 1) AS rw, 'F' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS fix,
+  (ARRAY{PTS!r})[CAST(o_orderkey % 6 + 1 AS INT)] AS pt, CASE o_orderkey % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE ' ' END AS turn, {sql_round('o_totalprice % 360', 1)} AS course, o_orderkey % 300 * 100 + 1000 AS alt, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS sign, {sql_round('o_totalprice % 90 + 1', 1)} AS dist, n, total FROM o)"""
 
 
-@query("fixed_width_encode", f"""WITH {_ORDER_LEGS}, h AS (SELECT *, 'SSPAP WMKJWME' || substr(base, 1, 4) || suffix || '2RW16  ' || sequence || fix || 'WM' || CASE WHEN n = 1 THEN 'EA' ELSE 'PC' END AS head FROM g)
-SELECT base || ' ' || suffix AS procedure_name, sequence, rpad(head || '1' || CASE WHEN n = total THEN 'EE' ELSE 'E ' END || '  ' || turn || '   ' || pt || repeat(' ', 21) || CASE WHEN pt IN ('AF', 'CA', 'CF') THEN lpad(CAST(CAST(floor(course * 10 + 0.5) AS BIGINT) AS VARCHAR), 4, '0') ELSE '    ' END || repeat(' ', 8) || sign || ' ' || lpad(CAST(alt AS VARCHAR), 5, '0') || repeat(' ', 29) || CASE WHEN suffix LIKE '%G' THEN 'DG' ELSE ' D' END, 132, ' ') AS "primary",
+@query("fixed_width_encode", f"""WITH {_ORDER_LEGS}, h AS (SELECT *, 'SSPAP WMKJWME' || substr(base, 1, 4) || suffix || '2' || rw || ' ' || sequence || fix || 'WM' || CASE WHEN n = 1 THEN 'EA' ELSE 'PC' END AS head FROM g)
+SELECT base || ' ' || suffix AS procedure_name, rw AS runway, sequence, rpad(head || '1' || CASE WHEN n = total THEN 'EE' ELSE 'E ' END || '  ' || turn || '   ' || pt || repeat(' ', 21) || CASE WHEN pt IN ('AF', 'CA', 'CF') THEN lpad(CAST(CAST(floor(course * 10 + 0.5) AS BIGINT) AS VARCHAR), 4, '0') ELSE '    ' END || repeat(' ', 8) || sign || ' ' || lpad(CAST(alt AS VARCHAR), 5, '0') || repeat(' ', 29) || CASE WHEN suffix LIKE '%G' THEN 'DG' ELSE ' D' END, 132, ' ') AS "primary",
   rpad(head || '2P' || repeat(' ', 34) || lpad(CAST(CAST(floor(dist * 10 + 0.5) AS BIGINT) AS VARCHAR), 4, '0'), 132, ' ') AS continuation FROM h""")
 def fixed_width_encode(spark, sf_dir):
-    legs = arinc424.write_records(order_legs(spark, sf_dir).where("seq < 1000"), F.lit("WMKJ"), ["seq"])
-    return legs.select("procedure_name", "sequence", "primary", "continuation")
+    legs = arinc424.write_records(order_legs(spark, sf_dir), F.lit("WMKJ"), ["seq"])
+    return legs.select("procedure_name", "runway", "sequence", "primary", "continuation")
 
 
-@query("fixed_width_roundtrip", f"""WITH {_ORDER_LEGS} SELECT CASE WHEN true THEN substr(base, 1, 4) || ' ' || suffix END AS procedure_name, sequence, fix, pt AS path_terminator, nullif(turn, ' ') AS turn_direction, CASE WHEN pt IN ('AF', 'CA', 'CF') THEN course END AS course_deg, alt::DOUBLE AS altitude_value, sign AS altitude_sign, dist AS distance_nm, n = total AS end_of_procedure, CASE WHEN n = 1 THEN 'EA' ELSE 'PC' END AS fix_section FROM g""")
+@query("fixed_width_roundtrip", f"""WITH {_ORDER_LEGS} SELECT CASE WHEN true THEN substr(base, 1, 4) || ' ' || suffix END AS procedure_name, rw AS runway, sequence, fix, pt AS path_terminator, nullif(turn, ' ') AS turn_direction, CASE WHEN pt IN ('AF', 'CA', 'CF') THEN course END AS course_deg, alt::DOUBLE AS altitude_value, sign AS altitude_sign, dist AS distance_nm, n = total AS end_of_procedure, CASE WHEN n = 1 THEN 'EA' ELSE 'PC' END AS fix_section FROM g""")
 def fixed_width_roundtrip(spark, sf_dir):
     """Legs written as records and read again; the readable name has four letters of the fix."""
     lines = fixed_width_encode(spark, sf_dir).select(F.posexplode(F.array("primary", "continuation")).alias("i", "line")).select(F.lit(0).alias("source"), F.col("i").alias("ordinal"), "line")
     legs = arinc424.merge_continuations(arinc424.parse_records(lines)).withColumn("procedure_name", arinc424.procedure_name(F.col("route_key")))
-    return legs.select("procedure_name", "sequence", "fix", "path_terminator", "turn_direction", "course_deg", "altitude_value", "altitude_sign", "distance_nm", "end_of_procedure", "fix_section")
+    return legs.select("procedure_name", "runway", "sequence", "fix", "path_terminator", "turn_direction", "course_deg", "altitude_value", "altitude_sign", "distance_nm", "end_of_procedure", "fix_section")
 
 
 @query("encode_errors", """

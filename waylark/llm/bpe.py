@@ -182,6 +182,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(load(path))
 
 
+common.CACHES.append(encoder.cache_clear)
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids and decoded text where ``keep_ids`` is set.
 

@@ -3,10 +3,12 @@ streaming over sorted groups, and vectorised hashing of words."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What empties the caches that operators keep in a Python worker between tasks.
+CACHES: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Give a worker's memory back before another operator's work: Python workers are used again, and their caches with them."""
+    for clear in CACHES:
+        clear()
+    gc.collect()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within, batches for Python hold so many rows at most; for actions on large rows."""

@@ -172,6 +172,7 @@ def _sketch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From (id, text): links (kind 0: equal texts; 1: an equal band) to the first id of this task, and a row (kind 2) for each band of the ids that are left."""
     texts_seen: dict[tuple[int, int], int] = {}
     bands_seen: dict[int, int] = {}
+    common.release()
     for pdf in it:
         raw = [t.lower().encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
         ids = pdf["id"].to_numpy()

@@ -33,7 +33,7 @@ SEQUENCE = 4096
 GROUP_TOKENS = 2_000_000
 #: Characters a token takes, at least about, to tell from text lengths how many groups there will be. It only sets the number of groups.
 CHARS_PER_TOKEN = 3
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Words for one call of the library.
 TOGETHER = 2000
 #: Text bytes whose words are looked up together, about.
@@ -219,6 +219,9 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+common.CACHES.append(word_tokens.cache_clear)
+
+
 def _pack_groups(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Pieces of whole groups."""
     pdf = pdf.sort_values(["grp", "doc_id", "ids"], kind="stable", na_position="first").reset_index(drop=True)

@@ -120,6 +120,7 @@ def _pack(it: Iterator[pd.DataFrame], bits: int, twice: np.ndarray, hot: np.ndar
     held: dict[bytes, tuple] = {}
     gone: list[tuple] = []
     size = 0
+    common.release()
     for pdf in it:
         texts = common.encoded(pdf["text"])
         ids, hashes = pdf["doc"].to_numpy(), pdf["th"].to_numpy()

@@ -290,6 +290,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.release()
         for pdf in it:
             yield pd.DataFrame({"d": pdf["d"], "score": model.value.scores([prepared(t) for t in pdf["t"]])})
 
@@ -304,6 +305,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def run(it):
         import pyarrow as pa
 
+        common.release()
         for batch in it:
             score = model.value.scores([prepared(t) for t in batch[text_col].to_pylist()])
             yield batch.filter(pa.array(score < 0.5))

@@ -31,7 +31,7 @@ from . import common
 #: The published split of byte-level BPE: contractions, runs of letters, of digits, of other characters, of white space.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words that a task remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Text bytes whose new words share a trie.
 TRIE_BYTES = 6 << 20
 

@@ -47,6 +47,11 @@ def release() -> None:
     """Give a worker's memory back before another operator's work: Python workers are used again, and their caches with them."""
     for clear in CACHES:
         clear()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free within the process back to the system."""
     gc.collect()
     with suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

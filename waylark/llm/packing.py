@@ -33,11 +33,11 @@ SEQUENCE = 4096
 GROUP_TOKENS = 2_000_000
 #: Characters a token takes, at least about, to tell from text lengths how many groups there will be. It only sets the number of groups.
 CHARS_PER_TOKEN = 3
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Words for one call of the library.
 TOGETHER = 2000
 #: Text bytes whose words are looked up together, about.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 6 << 20
 #: The pattern that the vocabulary splits lower-cased text by.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Up to here, characters are in normal form and change to lower case one by one.
@@ -176,12 +176,16 @@ class WordTokens:
         for i in new:
             known[i] = self.runs[runs[i]]
         flat = np.frombuffer(b"".join(known), dtype="<u2")
-        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 2
-        first = np.cumsum(size) - size
+        size = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 2
+        first = np.cumsum(size, dtype=np.int32) - size
         index = coded.indices.to_numpy()
         n = size[index]
-        ends = np.r_[0, np.cumsum(n)]
-        ids = flat[np.repeat(first[index] - ends[:-1], n) + np.arange(ends[-1])]
+        ends = np.zeros(len(n) + 1, dtype=np.int32)
+        np.cumsum(n, out=ends[1:])
+        at = np.repeat(first[index] - ends[:-1], n)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at]
+        del at, n
         cut = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         out = [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         for i in odd:
@@ -261,6 +265,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: st
     def tokens(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_tokens(vocabulary)
         for batch in it:
+            common.trim()
             sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
             ends = np.flatnonzero(np.diff(np.cumsum(sizes) // PASS_BYTES, append=-1)) + 1
             for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):

@@ -14,6 +14,7 @@ sequences whose lengths are powers of two, which need no padding.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +33,14 @@ SEQUENCE = 4096
 GROUP_TOKENS = 2_000_000
 #: Characters a token takes, at least about, to tell from text lengths how many groups there will be. It only sets the number of groups.
 CHARS_PER_TOKEN = 3
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Words for one call of the library.
 TOGETHER = 2000
 #: Text bytes whose words are looked up together, about.
-PASS_BYTES = 6 << 20
-#: The pattern that the vocabulary splits lower-cased text by.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Up to here, characters are in normal form and change to lower case one by one.
-LATIN = "\u024f"
-#: Arrow splits at these too, but they are no white space to the vocabulary's normaliser.
-ODD = "[\x1c-\x1f]"
+PASS_BYTES = 3 << 20
+#: Characters that the normaliser leaves alone but for simple lower case, as a class for RE2: Latin letters but the dotted capital I, and common punctuation. Four control characters are no white space to the vocabulary, but are to Arrow.
+PLAIN = r"\x{0}-\x{1b}\x{20}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20a0}-\x{20bf}"
+
 
 
 class Tournament:
@@ -128,6 +125,49 @@ def pack(lengths: list[int], capacity: int = SEQUENCE) -> list[list[tuple[int, i
     return out
 
 
+def _classes() -> np.ndarray:
+    """0 for white space, 1 for letters, 2 for digits, 3 for the rest, by code point; those beyond the table are 3."""
+    chars = [chr(i) for i in range(0x2100)]
+    return np.array([0 if c.isspace() else 1 if (k := unicodedata.category(c)[0]) == "L" else 2 if k == "N" else 3 for c in chars] + [3], dtype=np.uint8)
+
+
+_CLASS = _classes()
+_SHORT = [ord(c) for c in "stmd"]
+_LONG = [(ord(a), ord(b)) for a, b in ("re", "ve", "ll")]
+
+
+def cut_words(texts: list[str]) -> tuple[str, np.ndarray]:
+    """All texts as one, with white space between words, and how many words each has.
+
+    Words are those of the vocabulary's pattern: runs of letters, single digits, runs
+    of other characters, and before these the contractions (an apostrophe and one of
+    s, t, re, ve, m, ll, d, at the beginning of a word).
+    """
+    code = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kind = _CLASS[np.minimum(code, len(_CLASS) - 1)]
+    before = np.zeros_like(kind)
+    before[1:] = kind[:-1]
+    start = (kind != 0) & ((kind != before) | (kind == 2))
+    at = np.flatnonzero((code == 39) & start)
+    if len(at):
+        ahead = np.concatenate([code, np.zeros(3, dtype=np.uint32)])
+        one, two = ahead[at + 1], ahead[at + 2]
+        size = np.where(np.isin(one, _SHORT), 1, 0)
+        for a, b in _LONG:
+            size = np.where((one == a) & (two == b), 2, size)
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        end = at + 1 + size
+        end = end[end < len(code)]
+        start[end] |= kind[end] != 0
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    total = np.zeros(len(code) + 1, dtype=np.int32)
+    np.cumsum(start, out=total[1:])
+    counts = np.diff(total[np.minimum(ends, len(code))], prepend=0)
+    spaced = np.insert(code, np.flatnonzero(start & (before != 0)), 32)
+    return spaced.tobytes().decode("utf-32-le", "surrogatepass"), counts
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     import os
@@ -144,11 +184,12 @@ def _tokenizer(path: str):
 class WordTokens:
     """Token ids of texts, from the library's ids of distinct words.
 
-    The vocabulary's split never crosses white space, so the ids of a text are those
-    of its runs without white space, one after another. A run is split further by the
-    vocabulary's pattern; new words go to the library many at a time, and as just the
-    last token of a word carries the word-end mark, its ids are told apart again. Runs
-    with characters beyond Latin letters, or with a special token, go there whole.
+    The ids of a text are those of its words, one after another, as the vocabulary's
+    pattern cuts them. A batch of texts is cut at once and Arrow codes the words as a
+    dictionary; only words not met before go to the library, many
+    at a time. As just the last token of a word carries the word-end mark, their ids
+    are told apart again. Texts with characters beyond PLAIN, or with what may be a
+    special token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -156,25 +197,24 @@ class WordTokens:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
         """Ids of each text as 16-bit integers; null as empty."""
-        if len(self.runs) > REMEMBERED:
-            self.runs.clear()
         if len(self.words) > REMEMBERED:
-            self.words.clear()
+            self.words = {"": b""}
         texts = pc.fill_null(texts, "")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False))
-        split = pc.utf8_split_whitespace(texts)
+        odd = np.flatnonzero(pc.match_substring_regex(texts, f"[^{PLAIN}]|<\\|").to_numpy(zero_copy_only=False))
+        spaced, counts = cut_words([t.lower() for t in texts.to_pylist()])
+        split = pc.utf8_split_whitespace(pa.array([spaced]))
         coded = split.flatten().dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        known = list(map(self.runs.get, runs))
+        del spaced
+        distinct = coded.dictionary.to_pylist()
+        known = list(map(self.words.get, distinct))
         new = [i for i, ids in enumerate(known) if ids is None]
-        self._learn({runs[i] for i in new})
+        self._learn([distinct[i] for i in new])
         for i in new:
-            known[i] = self.runs[runs[i]]
+            known[i] = self.words[distinct[i]]
         flat = np.frombuffer(b"".join(known), dtype="<u2")
         size = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 2
         first = np.cumsum(size, dtype=np.int32) - size
@@ -186,32 +226,24 @@ class WordTokens:
         at += np.arange(len(at), dtype=np.int32)
         ids = flat[at]
         del at, n
-        cut = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        cut = ends[np.r_[0, np.cumsum(counts)]]
         out = [ids[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         for i in odd:
             out[i] = np.frombuffer(self.whole(texts[i].as_py()), dtype="<u2")
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        parts: dict[str, list[str]] = {}
-        for run in new:
-            if not run:
-                self.runs[run] = b""
-            elif max(run) > LATIN or "<|" in run:
-                self.runs[run] = self.whole(run)
-            else:
-                parts[run] = WORD.findall(run.lower())
-        words = self.words
-        unknown = list({w for p in parts.values() for w in p if w not in words})
-        for a in range(0, len(unknown), TOGETHER):
-            some = unknown[a : a + TOGETHER]
+    def _learn(self, new: list[str]) -> None:
+        for a in range(0, len(new), TOGETHER):
+            some = new[a : a + TOGETHER]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # words of texts that go there whole needn't be cut as the vocabulary cuts them
+                self.words.update((w, self.whole(w)) for w in some)
+                continue
             raw, at = ids.tobytes(), 0
-            for w, end in zip(some, (2 * np.flatnonzero(self.ends[ids]) + 2).tolist(), strict=True):
-                words[w] = raw[at:end]
+            for w, end in zip(some, (2 * ends).tolist(), strict=True):
+                self.words[w] = raw[at:end]
                 at = end
-        for run, p in parts.items():
-            self.runs[run] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()

@@ -219,6 +219,9 @@ class WordTokens:
         size = np.fromiter(map(len, known), dtype=np.int32, count=len(known)) // 2
         first = np.cumsum(size, dtype=np.int32) - size
         index = coded.indices.to_numpy()
+        index = index[size[index] > 0]  # white space at the ends gives empty words
+        if len(index) != counts.sum():
+            raise ValueError("words were cut in two ways")
         n = size[index]
         ends = np.zeros(len(n) + 1, dtype=np.int32)
         np.cumsum(n, out=ends[1:])

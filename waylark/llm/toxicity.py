@@ -101,7 +101,7 @@ class Classifier:
         self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
         self.base = np.zeros(1, dtype=np.float32)
         self.shift = np.zeros(len(LANGUAGES))
-        self.slope = 1.0
+        self.wordless = -2.0
 
     def _responses(self, x: np.ndarray, w: int) -> np.ndarray:
         """The filters of one width at each word; past the end of ``x`` there are zeros."""
@@ -214,6 +214,8 @@ class Classifier:
             at = np.flatnonzero(error <= error.min() + 1e-9)
             return float((cuts[at[0]] + cuts[at[-1]]) / 2)
 
+        # a text without words tells nothing, so its score is the share itself
+        self.wordless = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
         if not len(logits) or not 0 < labels.sum() < len(labels):
             return
         self.shift[:] = best(logits, labels)
@@ -229,6 +231,7 @@ class Classifier:
             words = Words(texts[a:b])
             h = words.hashes()
             z = self.logits(features(words, h), words.count) - self.shift[languages(words, h)]
+            z = np.where(words.count > 0, z, self.wordless)
             out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
@@ -282,8 +285,8 @@ def held_out(doc_id):
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
-    Whole texts are scored. A null text counts as empty; an empty one gets the score
-    of a text without words. Each row is scored by itself, so repeated rows get equal
+    Whole texts are scored. A null text counts as empty; a text without words gets
+    the share of toxic rows as its score. Each row is scored by itself, so repeated rows get equal
     scores. A null id is not held out. An empty table gives no rows. Other columns are
     ignored.
     """

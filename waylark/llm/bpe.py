@@ -213,4 +213,5 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 columns += [pa.array([x[3] for x in out], pa.list_(pa.int32())), pa.array([x[4] for x in out], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
+    common.text_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(run, T.StructType(fields))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but the six ASCII white-space bytes, which is what ``bytes.split()`` splits at.
 SPACE = 32
 #: Text bytes that one numpy pass takes; longer texts are taken alone.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 NULL_ID = -(1 << 63)
 
 
@@ -57,6 +57,18 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Rows of a batch for Python where rows hold whole texts.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have TEXT_ROWS rows at most, as a batch of texts is held several times over in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Within, batches for Python hold so many rows at most; for actions on large rows."""

@@ -288,6 +288,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     few pages, is judged by what its element says alone. An empty table gives no rows.
     Other columns are ignored.
     """
+    common.text_batches(pages.sparkSession)
     trees = common.written(style_trees(pages, url_col, html_col), "styles")
     low = trees.where((F.col("pages") >= PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
     lists = low.groupBy("host").agg(F.sort_array(F.collect_set("node")).alias("low"))

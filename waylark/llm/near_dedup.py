@@ -50,7 +50,7 @@ BLOCK = 512
 #: Rows of one component are dealt over so many partitions where they meet its totals.
 SALTS = 64
 #: Keys that a map task remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Rounds after which propagation is taken to be broken; each halves the longest way at least.
 MOST_ROUNDS = 60
 
@@ -351,6 +351,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id is a document without links: its class is null. An empty table gives no rows.
     Other columns are ignored.
     """
+    common.text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     sketch = common.written(known.mapInPandas(_sketch, "kind int, key long, id long"), "bands")

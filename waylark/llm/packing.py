@@ -33,7 +33,7 @@ SEQUENCE = 4096
 GROUP_TOKENS = 2_000_000
 #: Characters a token takes, at least about, to tell from text lengths how many groups there will be. It only sets the number of groups.
 CHARS_PER_TOKEN = 3
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Words for one call of the library.
 TOGETHER = 2000
 #: Text bytes whose words are looked up together, about.
@@ -292,6 +292,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, id_col: st
     too. An empty table gives no rows. Other columns are ignored. ``vocabulary`` is
     the path of a JSON file on the executors.
     """
+    common.text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
     groups = max(1, round(((size["chars"] or 0) / CHARS_PER_TOKEN + size["n"]) / GROUP_TOKENS))

@@ -35,7 +35,7 @@ from .common import Words
 WINDOW = 20
 MINIMISER = 5
 #: Above this many bytes of packed strings, a map task sends on what it has combined.
-COMBINE_BYTES = 24 << 20
+COMBINE_BYTES = 16 << 20
 HOT_SHARE = 2000
 HOT_LEAST = 1000
 
@@ -245,6 +245,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are kept, and columns named n_words or n_removed are replaced.
     """
     spark = docs.sparkSession
+    common.text_batches(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(common.NULL_ID))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(key.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))

@@ -168,24 +168,24 @@ def file_of_page(spark, sf_dir):
     return grouping.pages_in_ranges(p.select("page_no"), "page_no", f, "start", "pages").select("page_no", "file_no", (F.col("page_no") - F.col("start") + 1).alias("local_page"))
 
 
-@query("merged_files", """SELECT n_nationkey AS id, sum(n_regionkey + 1) OVER (ORDER BY lpad(CAST(n_nationkey * 7 % 25 AS VARCHAR), 12, '0'), n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS before_pages FROM nation""")
+@query("merged_files", """SELECT n_nationkey AS id, sum(n_regionkey + 1) OVER (PARTITION BY n_regionkey ORDER BY lpad(CAST(n_nationkey * 7 % 25 AS VARCHAR), 12, '0'), n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS before_pages FROM nation""")
 def merged_files(spark, sf_dir):
-    """Files in natural order of their names and how many pages come before each. Files are few; their pages aren't touched."""
+    """Files of each task in natural order of their names, and how many pages come before each."""
     n = table(spark, sf_dir, "nation").withColumn("name", F.concat(F.lit("file "), (F.col("n_nationkey") * 7 % 25).cast("string")))
-    w = Window.partitionBy(F.lit(0)).orderBy(tx.natural_key(F.col("name")), "n_nationkey").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("n_regionkey").orderBy(tx.natural_key(F.col("name")), "n_nationkey").rowsBetween(Window.unboundedPreceding, -1)
     return n.select(F.col("n_nationkey").alias("id"), F.sum(F.col("n_regionkey") + 1).over(w).cast("long").alias("before_pages"))
 
 
 @query("package_grouping", f"""WITH p AS ({AIP_PAGES}), r AS (SELECT page_no, file_no, CASE WHEN regexp_matches(text, 'STANDARD DEPARTURE') THEN 'SID' WHEN regexp_matches(text, 'STANDARD ARRIVAL') THEN 'STAR' WHEN regexp_matches(text, 'INSTRUMENT APPROACH') THEN 'APPROACH' END AS package, regexp_matches(text, 'RWY') AS rw FROM p)
-SELECT file_no, package, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) AS pages, min(page_no) AS default_chart, bool_or(NOT rw) AS review, count(*) AS n, 'pkg_' || dense_rank() OVER (ORDER BY file_no, package) AS package_id FROM r WHERE package IS NOT NULL GROUP BY file_no, package""")
+SELECT file_no, package, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) AS pages, min(page_no) AS default_chart, bool_or(NOT rw) AS review, count(*) AS n, 'pkg_' || file_no || '_' || row_number() OVER (PARTITION BY file_no ORDER BY package) AS package_id FROM r WHERE package IS NOT NULL GROUP BY file_no, package""")
 def package_grouping(spark, sf_dir):
     p = aip_pages(spark, sf_dir)
     t = F.col("text")
     kind = F.when(t.contains("STANDARD DEPARTURE"), "SID").when(t.contains("STANDARD ARRIVAL"), "STAR").when(t.contains("INSTRUMENT APPROACH"), "APPROACH")
     rows = p.select("page_no", "file_no", kind.alias("package"), t.contains("RWY").alias("rw")).where("package is not null")
     packages = grouping.finalized(rows, ["file_no", "package"], "page_no", ~F.col("rw"))
-    w = Window.partitionBy(F.lit(0)).orderBy("file_no", "package")
-    return packages.select("file_no", "package", F.array_join("pages", ",").alias("pages"), "default_chart", "review", "n", F.concat(F.lit("pkg_"), F.dense_rank().over(w).cast("string")).alias("package_id"))
+    w = Window.partitionBy("file_no").orderBy("package")
+    return packages.select("file_no", "package", F.array_join("pages", ",").alias("pages"), "default_chart", "review", "n", F.concat_ws("_", F.lit("pkg"), F.col("file_no").cast("string"), F.row_number().over(w).cast("string")).alias("package_id"))
 
 
 @query("support_refs", f"""WITH p AS ({AIP_PAGES}), r AS (SELECT page_no, file_no, CASE WHEN regexp_matches(text, 'AD 2.24') THEN 'CHART_INDEX' WHEN regexp_matches(text, 'AD 2.12') THEN 'RUNWAY_DATA' WHEN regexp_matches(text, 'AD 2.19') THEN 'NAVAID' END AS support FROM p),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waylark.functions import geo
 
+from .merge import top_one
 from .records import errors
 
 KINDS = ["Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon"]
@@ -97,3 +98,44 @@ def fold_legs(legs: DataFrame, key: str, key_type: str) -> DataFrame:
         return pd.DataFrame(rows, columns=[key, "sequence", "status", "from_lon", "from_lat", "to_lon", "to_lat"])
 
     return legs.groupBy(key).applyInPandas(run, f"{key} {key_type}, sequence long, status string, from_lon double, from_lat double, to_lon double, to_lat double")
+
+
+def _radial_fix(deg: Column, nm: Column) -> Column:
+    """D, three digits of the radial, and a letter that counts miles from A."""
+    return F.concat(F.lit("D"), F.lpad(F.floor(deg + 0.5).cast("string"), 3, "0"), F.char(F.greatest(F.lit(1), F.least(F.lit(26), F.floor(nm + 0.5))) + 64))
+
+
+def arc_legs(charts: DataFrame, radials: DataFrame) -> DataFrame:
+    """(chart, procedure, sequence, path_terminator, from_fix, fix, course_deg, distance_nm, turn): legs of procedures that are drawn as arcs but have no table.
+
+    ``charts`` has chart, radius_nm, outer_nm and common_fix; ``radials`` has chart, deg,
+    inbound_deg and procedures, the names of those that use it. The final radial is
+    the one of most procedures. A procedure enters on its radial farthest from it,
+    flies in to the arc, along it over its other radials in the order they are met,
+    and from the final radial to the common fix. Procedures without a radial of their
+    own have no legs.
+    """
+    c = F.col
+    order = [F.desc(F.size("procedures")), F.desc(c("inbound_deg").isNotNull()), c("deg")]
+    final = top_one(radials, ["chart"], order).select("chart", c("deg").alias("final"), c("inbound_deg").alias("inbound"))
+    own = radials.join(final, "chart").where("deg <> final").select("chart", "deg", "final", "inbound", F.explode("procedures").alias("procedure"))
+    far = F.struct(geo.circular_apart(c("deg"), c("final")).alias("apart"), (-c("deg")).alias("first"))
+    met = own.groupBy("chart", "procedure", "final", "inbound").agg(F.max_by("deg", far).alias("entry"), F.collect_set("deg").alias("degs")).join(charts, "chart")
+    right = F.pmod(c("final") - c("entry") + 540, F.lit(360.0)) - 180 >= 0
+    met = met.withColumn("turn", F.when(right, "R").otherwise("L"))
+    ahead = lambda d: F.pmod(F.when(c("turn") == "R", d - c("entry")).otherwise(c("entry") - d) + 360, F.lit(360.0))
+    over = F.filter("degs", lambda d: (d != c("entry")) & (ahead(d) < ahead(c("final"))))
+    passed = F.transform(F.array_sort(F.transform(over, lambda d: F.struct(ahead(d).alias("o"), d.alias("d")))), lambda x: x["d"])
+    met = met.withColumn("stops", F.concat(passed, F.array("final")))
+    round1 = lambda x: F.floor(x * 10 + 0.5) / 10
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def leg(pt: str, start: Column, fix: Column, course: Column, nm: Column, turn: Column) -> Column:
+        return F.struct(F.lit(pt).alias("path_terminator"), start.alias("from_fix"), fix.alias("fix"), course.cast("double").alias("course_deg"), nm.cast("double").alias("distance_nm"), turn.alias("turn"))
+
+    entry_fix, outer = F.upper(F.substring_index(F.trim("procedure"), " ", 1)), _radial_fix(c("entry"), c("outer_nm"))
+    begin = F.array(leg("IF", text, entry_fix, number, number, text), leg("TF", entry_fix, outer, number, number, text), leg("CI", outer, text, F.pmod(c("entry") + 180, F.lit(360.0)), round1(c("outer_nm") - c("radius_nm")), text))
+    before = F.concat(F.array("entry"), c("stops"))
+    arcs = F.transform(c("stops"), lambda d, i: leg("AF", F.when(i > 0, _radial_fix(F.get(before, i), c("radius_nm"))), _radial_fix(d, c("radius_nm")), number, round1(c("radius_nm") * F.radians(ahead(d) - ahead(F.get(before, i)))), c("turn")))
+    end = F.when(c("common_fix").isNotNull(), F.array(leg("TF", _radial_fix(c("final"), c("radius_nm")), c("common_fix"), c("inbound"), number, text))).otherwise(F.slice(begin, 1, 0))
+    return met.select("chart", "procedure", F.posexplode(F.concat(begin, arcs, end)).alias("i", "leg")).select("chart", "procedure", ((c("i") + 1) * 10).alias("sequence"), "leg.*")

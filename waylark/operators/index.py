@@ -70,3 +70,28 @@ def with_reason(pages: DataFrame, known: DataFrame, key: str, title: Column, exp
     out = pages.join(known.select(key, F.lit(True).alias("_known")), key, "left")
     verdict = F.when(F.col(key).isNull(), "NO_KEY").when(~title.rlike(explicit), "NO_TITLE").when(F.col("_known"), "JOINED").otherwise("NEW")
     return out.withColumn("verdict", verdict).drop("_known")
+
+
+#: Fixed value: titles of charts that are programs.
+PROGRAM = r"STANDARD\s+DEPARTURE\s+CHART|STANDARD\s+ARRIVAL\s+CHART|INSTRUMENT\s+APPROACH\s+CHART"
+
+
+def numeric_items(text: Column) -> Column:
+    """Items of an index in which a title is followed by its number: an array of struct(name, number, tabular_no)."""
+    found = F.regexp_extract_all(F.upper(text), F.lit(rf"(?s)((?:{PROGRAM}).*?{tx.NUMERIC_NO})"), F.lit(1))
+    name = lambda s: tx.squeezed(F.regexp_replace(F.regexp_replace(s, tx.NUMERIC_NO, ""), r"\(TABULAR\s*\d+\)", ""))
+    return F.transform(found, lambda s: F.struct(name(s).alias("name"), tx.chart_no_numeric(F.regexp_extract(s, tx.NUMERIC_NO, 0)).alias("number"), tx.extract(s, r"\(TABULAR\s*(\d+)\)").try_cast("int").alias("tabular_no")))
+
+
+def continues_index(text: Column) -> Column:
+    """Whether a page goes on with an index: many program titles under its heading or with leaders, or many lettered numbers."""
+    up = F.upper(text)
+    titles = F.regexp_count(up, F.lit(PROGRAM))
+    leaders = F.regexp_count(text, F.lit(r"·{4,}|\.{6,}"))
+    heading = up.rlike(r"CHART\s+NAME\s+PAGE|AD\s*2\.?24|CHARTS RELATED TO (AN|THE) AERODROME")
+    return ((titles >= 4) & (heading | (leaders >= 4))) | (F.regexp_count(up, F.lit(tx.LETTERED_NO)) >= 8)
+
+
+def section(text: Column) -> Column:
+    """The section that a page names first, such as AD 2.12."""
+    return tx.squeezed(tx.extract(F.upper(text), r"(AD\s*2\.?\s*\d{1,2})"))

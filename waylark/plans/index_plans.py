@@ -116,3 +116,32 @@ def flat_and_nested(spark, sf_dir):
 def recognition_summary(spark, sf_dir):
     legs, _ = compared(spark, sf_dir)
     return legs.groupBy((F.col("branch") % 10).alias("grp")).agg(F.count_distinct("branch").alias("procedures"), F.count(F.lit(1)).alias("legs"), F.count_if(F.col("status") != "MATCH").alias("warnings"), F.bool_or(F.col("status") == "MISSING_RIGHT").alias("review"))
+
+
+@query("numeric_index", """SELECT doc_id, CAST(i - 1 AS INT) AS ordinal, CASE WHEN i = 1 THEN 'STANDARD DEPARTURE CHART - ICAO ' || upper(lang) ELSE 'INSTRUMENT APPROACH CHART ' || upper(source) END AS name, 'AD 2-WMKJ-6-' || (doc_id % 40 + i) AS number, CASE WHEN i = 1 THEN 2 END AS tabular_no FROM documents, range(1, 3) t(i)""")
+def numeric_index(spark, sf_dir):
+    n = F.col("doc_id") % 40
+    text = F.concat(F.lit("Standard Departure\nChart - ICAO "), "lang", F.lit(" (TABULAR 2)AD 2-WMKJ-6-"), (n + 1).cast("string"), F.lit("\nInstrument Approach Chart "), F.col("source"), F.lit(" A D 2 - W M K J - 6 - "), (n + 2).cast("string"), F.lit("\nend"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(index.numeric_items(text)).alias("ordinal", "x"))
+    return d.select("doc_id", "ordinal", "x.name", "x.number", "x.tabular_no")
+
+
+@query("index_continuations", """SELECT doc_id, doc_id % 7 >= 4 AND doc_id % 3 <> 2 OR doc_id % 11 >= 8 AS continues, CASE doc_id % 3 WHEN 0 THEN 'AD 2.24' END AS section FROM documents""")
+def index_continuations(spark, sf_dir):
+    n = F.col("doc_id")
+    titles = F.repeat(F.lit("STANDARD ARRIVAL CHART\n"), (n % 7).cast("int"))
+    kind = F.when(n % 3 == 0, "AD 2.24\n").when(n % 3 == 1, F.repeat(F.lit("x ...... y\n"), F.lit(4))).otherwise("plain\n")
+    numbers = F.repeat(F.lit("see AD 2-VHHH-SID-B\n"), (n % 11).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(kind, titles, numbers).alias("t"))
+    return d.select("doc_id", index.continues_index(F.col("t")).alias("continues"), F.when(n % 3 == 0, index.section(F.col("t"))).alias("section"))
+
+
+@query("arc_fallback")
+def arc_fallback(spark, sf_dir):
+    """Legs along an arc for procedures without any: a nation's suppliers are its radials."""
+    from waylark.operators import geometry
+
+    s = table(spark, sf_dir, "supplier")
+    radials = s.select(F.col("s_nationkey").alias("chart"), (F.col("s_suppkey") * 37 % 360).cast("double").alias("deg"), F.when(F.col("s_suppkey") % 4 == 0, 340.0).alias("inbound_deg"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("s_suppkey") % 3), lambda i: F.concat(F.lit("ADLOV 1"), F.char(65 + i))).alias("procedures"))
+    charts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("chart"), F.lit(11.0).alias("radius_nm"), F.lit(13.0).alias("outer_nm"), F.lit("JB").alias("common_fix"))
+    return geometry.arc_legs(charts, radials)

@@ -1,4 +1,3 @@
-import pandas as pd
 from pyspark.sql import functions as F
 
 from waylark.operators import align, compare, graph, grouping, merge
@@ -51,8 +50,8 @@ def test_alignment_over_other_sequence_numbers(spark):
 
 
 def test_pairs_go_before_gaps():
-    assert align.needleman_wunsch(pd.DataFrame([[-4.0]]).to_numpy()) == [(0, 0)]
-    assert align.needleman_wunsch(pd.DataFrame([[-5.0]]).to_numpy()) == [(None, 0), (0, None)]
+    assert align.needleman_wunsch([[-4.0]], 1, 1) == [(0, 0)]
+    assert align.needleman_wunsch([[-5.0]], 1, 1) == [(None, 0), (0, None)]
 
 
 def test_greedy_pairs_take_the_first_free_one(spark):

@@ -206,6 +206,40 @@ def test_agreement_takes_turned_and_scaled_pictures():
     assert media_copies.agreeing(da, db) < media_copies.LEAST_AGREEING
 
 
+def described(bits, seed):
+    """Descriptors with these bits at places of their own."""
+    d = np.zeros(len(bits), dtype=media_copies.DESCRIPTOR)
+    rng = np.random.default_rng(seed)
+    d["x"], d["y"], d["scale"], d["bits"] = rng.uniform(0, 90, len(bits)), rng.uniform(0, 90, len(bits)), 1, bits
+    return d
+
+
+def test_copies_under_a_key_that_another_leads(spark):
+    rng = np.random.default_rng(8)
+    first = rng.integers(0, 2**63, (8, 2)).astype(np.uint64)
+    second = first.copy()
+    for bit in range(0, 120, 12):  # a flip in each chunk, so that no key is shared
+        second[1:, bit // 64] ^= np.uint64(1 << (bit % 64))
+    other = rng.integers(0, 2**63, (8, 2)).astype(np.uint64)
+    other[0] = first[0]
+    a, x, y = described(other, 1), described(first, 2), described(second, 2)
+    assert media_copies.agreeing(x, y) == 8 and media_copies.agreeing(a, x) == media_copies.agreeing(a, y) == 0
+    found = spark.createDataFrame([(i, d.tobytes()) for i, d in ((1, a), (2, x), (3, y))], "id long, descriptors binary")
+    assert [tuple(r) for r in media_copies.linked(found).collect()] == [(2, 3)]
+
+
+def test_matches_of_many_pairs_are_those_of_one():
+    rng = np.random.default_rng(9)
+    base = media_copies.picture(rng.normal(size=64))
+    sets = [media_copies.describe(p[None])[0] for p in (base, media_copies.edited(base, 1), base[:60, :60], media_copies.picture(rng.normal(size=64)))]
+    size = np.array([len(d) for d in sets])
+    x, y = (g.ravel() for g in np.meshgrid(range(4), range(4)))
+    got = media_copies.mutual_matches(np.concatenate([d["bits"] for d in sets]), np.cumsum(size) - size, size, x, y)
+    for n, i, j in zip(got, x, y, strict=True):
+        apart = np.bitwise_count(sets[i]["bits"][:, None] ^ sets[j]["bits"][None]).sum(axis=2)
+        assert n == sum(apart[r, c] <= media_copies.MOST_BITS_APART and apart[:, c].argmin() == r for r, c in enumerate(apart.argmin(axis=1)))
+
+
 TOOLS = {"f": {"required": ["a"], "properties": {"a": {"type": "integer", "minimum": 1, "maximum": 5}, "b": {"type": "string", "enum": ["x"], "maxLength": 3}}, "additionalProperties": False}, "g": {}}
 
 

@@ -267,6 +267,25 @@ def test_calls_and_results_are_linked(spark):
     assert tool_calls.link_calls(c.limit(0), r.limit(0), TOOLS).count() == 0
 
 
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_every_result_has_a_place(spark, hot, monkeypatch):
+    monkeypatch.setattr(tool_calls, "HOT_RESULTS", hot)
+    c = calls(spark, [(1, 0, "a", "g", "{}", None), (1, 2, "b", "g", "{}", "a"), (1, 2, "b", "g", "{}", "a")])
+    sent = [(1, 3, "b", "y"), (1, 3, "b", "y"), (1, 3, "b", "x"), (2, 3, "b", "x"), (1, 1, "a", None), (1, 4, "a", "z"), (1, 1, "q", "o"), (1, 1, "q", "o"), (1, 1, None, "n")]
+    rows = tool_calls.link_calls(c, spark.createDataFrame(sent, "conv_id long, turn long, call_id string, content string"), TOOLS).collect()
+    told = sorted((r["kind"], str(r["call_id"]), r["conv_id"], r["turn"], json.loads(r["record"])["content"], r["level"]) for r in rows if r["kind"] != "call")
+    assert told == [("orphan", "None", 1, 1, "n", None), ("orphan", "q", 1, 1, "o", None), ("orphan", "q", 1, 1, "o", None), ("result", "a", 1, 4, "z", 0), ("result", "b", 1, 3, "y", 1), ("result", "b", 1, 3, "y", 1), ("result", "b", 2, 3, "x", 1)]
+    taken = {r["call_id"]: json.loads(r["record"]) for r in rows if r["kind"] == "call"}
+    assert (taken["a"]["result"], taken["a"]["n_results"], taken["b"]["result"], taken["b"]["n_results"]) == (None, 2, "x", 4)
+
+
+def test_levels_are_longest_ways(spark):
+    after = {"a": [None], "b": ["a"], "c": ["b", "nowhere"], "d": ["a", "c", None], "e": ["d"], "f": ["e", "b"], "g": ["f", "x"], "x": ["y"], "y": ["x", "a"], "h": ["y"], "i": ["i", "a"]}
+    c = calls(spark, [(1, 0, k, "g", "{}", p) for k, ps in after.items() for p in ps])
+    want = {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": None, "x": None, "y": None, "h": None, "i": None}
+    assert {r["call_id"]: r["level"] for r in tool_calls.levels(c).collect()} == want
+
+
 def test_long_chains_are_ordered(spark):
     n = 300
     c = calls(spark, [(1, i, f"c{i}", "g", "{}", f"c{i - 1}" if i else None) for i in range(n)])

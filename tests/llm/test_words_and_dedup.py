@@ -107,7 +107,7 @@ def brute_classes(rows, level=0.8):
     return {d: min(least[find(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("block", [512, 5])
+@pytest.mark.parametrize("block", [128, 5])
 def test_near_classes_as_by_brute_force(spark, corpus, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = [r for r in corpus if r[0] is not None]
@@ -116,6 +116,62 @@ def test_near_classes_as_by_brute_force(spark, corpus, block, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_a_task_sends_a_spanning_star(spark):
+    import pandas as pd
+
+    rng = random.Random(12)
+    base = prose(rng, 400, 5000).split()
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(4):
+            w[rng.randrange(400)] = f"c{rng.randrange(1000)}"
+        rows.append((i + 10, " ".join(w)))
+    out = pd.concat(list(near_dedup._sketch(iter([pd.DataFrame(rows, columns=["id", "text"])]))))
+    links = out[out["kind"] == 1]
+    assert len(links[links["key"] != links["id"]]) <= 499 and set(links["id"]) == {10}
+    keys = out[out["kind"] == 2]
+    assert keys["key"].is_unique and set(keys["id"]) == {10}
+
+
+def test_components_of_long_ways_and_stars(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(10**6), 900)
+    edges = list(zip(names[:700], names[1:700])) + [(names[700], x) for x in names[701:]]
+    got = {r["id"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == set(names)
+    assert {got[x] for x in names[:700]} == {min(names[:700])} and {got[x] for x in names[700:]} == {min(names[700:])}
+
+
+def test_contracted_links_join_what_shares_a_key(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), rng.randrange(100)) for _ in range(110)]
+    root = {i: i for _, i in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, i in rows:
+        for m, j in rows:
+            if k == m:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    for rounds in (0, 2):
+        links = near_dedup.contracted(spark.createDataFrame(rows, "key long, id long"), rounds)
+        got = {r["id"]: r["root"] for r in near_dedup.components(links).collect()}
+        assert all(got.get(i, i) == find(i) for _, i in rows)
+
+
+def test_ids_that_repeat_with_several_texts_join_their_classes(spark):
+    rng = random.Random(14)
+    a, b, c = (prose(rng, 80, 5000) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, b + " more"), (9, c), (11, c)]
+    for parts in (1, 3):
+        got = near_dedup.near_groups(frame(spark, rows).repartition(parts)).collect()
+        assert {(r["doc_id"], r["class_id"]) for r in got} == {(i, 3) for i, _ in rows} and len(got) == len(rows)
+
+
 def test_signatures_agree_as_often_as_weighted_jaccard():
     rng = random.Random(9)
     a = [f"x{rng.randrange(150)}" for _ in range(800)]

@@ -14,10 +14,12 @@ throw again up to twice that rank.
 Signatures meet in BANDS bands of ROWS coordinates. What follows keeps groups
 of any size whole without making their pairs:
 
-1. In a map task equal texts, and texts with equal bands, are linked to the
-   first one there; only that one travels. A bucket holds a row for each map task
-   at most, whatever its size.
-2. Links of bands give candidate components, by propagation of the least id.
+1. A map task keeps a union-find of its texts: equal texts, and texts with an
+   equal band, become one component, and only a spanning star of each leaves the
+   task. A band's key travels once, with its component's least id, so a bucket
+   holds a row for each map task at most, whatever its size.
+2. Components of tasks that share a key are contracted to the least of them, and
+   what is left is joined by rounds of contraction.
 3. A component's texts meet in blocks of ``BLOCK``, each with the component's
    least id, its head. Within a block, exact weighted Jaccard joins texts to
    clusters: a text is held against the pivot of each cluster, and against a
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,13 +48,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 18, 4
 K = BANDS * ROWS
-BLOCK = 512
+BLOCK = 128
 #: Rows of one component are dealt over so many partitions where they meet its totals.
 SALTS = 64
 #: Keys that a map task remembers before it starts afresh.
 REMEMBERED = 400_000
-#: Rounds after which propagation is taken to be broken; each halves the longest way at least.
-MOST_ROUNDS = 60
+#: Rounds after which contraction is taken to be broken; two of them leave three quarters of the nodes or less, as expected.
+MOST_ROUNDS = 200
 
 #: Layers of rank: [0, 1/64), doubling up to 1, then of height 1. ``_POISSON[i]`` has the cumulated probabilities of 0, 1, ... darts in layer i of a unit of weight.
 _LOW = 64
@@ -168,17 +170,67 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return mix(out + common.seeds(BANDS, 32)[None, :])
 
 
+class _Task:
+    """What a map task knows of its texts until it sends it on: equal texts, components of texts that share bands, and whose each band key is."""
+
+    def __init__(self) -> None:
+        self.texts: dict[tuple[int, int], int] = {}
+        self.keys: dict[int, int] = {}
+        self.parent: dict[int, int] = {}
+        self.least: dict[int, int] = {}
+        self.equal: list[tuple[int, int]] = []
+
+    def first(self, text: tuple[int, int], me: int) -> bool:
+        """Whether a text hasn't been there before."""
+        old = self.texts.get(text)
+        if old is None:
+            self.texts[text] = me
+            return True
+        if old != me:
+            self.equal.append((me, old))
+            self.least[old] = min(me, self.least.get(old, old))
+        return False
+
+    def root(self, x: int) -> int:
+        up = self.parent
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def band(self, key: int, me: int) -> None:
+        old = self.keys.setdefault(key, me)
+        if old != me and (a := self.root(old)) != (b := self.root(me)):
+            self.parent[max(a, b)] = min(a, b)
+            self.parent.setdefault(min(a, b), min(a, b))
+
+    def full(self) -> bool:
+        return len(self.keys) > REMEMBERED or len(self.equal) > REMEMBERED
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        """Links to the least id, of itself too (kind 0: equal texts; 1: members of a component), and a row (kind 2) for each key."""
+        name = self.least.get
+        reps: dict[int, int] = {}
+        for x in self.parent:
+            r, n = self.root(x), name(x, x)
+            reps[r] = min(n, reps.get(r, n))
+        equal = [(i, name(first, first)) for i, first in [*self.equal, *((f, f) for f in self.least)]]
+        for kind, found in ((0, equal), (1, [(name(x, x), reps[self.root(x)]) for x in self.parent]), (2, [(k, reps[self.root(i)] if i in self.parent else name(i, i)) for k, i in self.keys.items()])):
+            if found:
+                e = np.array(found, dtype=np.int64)
+                yield pd.DataFrame({"kind": np.full(len(e), kind, dtype=np.int32), "key": e[:, 0], "id": e[:, 1]})
+
+
 def _sketch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (id, text): links (kind 0: equal texts; 1: an equal band) to the first id of this task, and a row (kind 2) for each band of the ids that are left."""
-    texts_seen: dict[tuple[int, int], int] = {}
-    bands_seen: dict[int, int] = {}
+    """From (id, text): what ``_Task.rows`` says of the task's texts."""
     common.release()
+    task = _Task()
     for pdf in it:
         raw = [t.lower().encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
         ids = pdf["id"].to_numpy()
         for a, b in common.passes(raw):
-            if len(bands_seen) > REMEMBERED:
-                texts_seen, bands_seen = {}, {}
+            if task.full():
+                yield from task.rows()
+                task = _Task()
             w = Words(raw[a:b])
             doc, cells = shingle_cells(w)
             n = b - a
@@ -187,57 +239,67 @@ def _sketch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = [np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)]
             for t, seed in zip(total, (1, 2), strict=True):
                 np.add.at(t, doc, mix(cells + np.uint64(seed)))
-            equal: list[tuple[int, int]] = []
             for i, (x, y, c) in enumerate(zip(total[0].tolist(), total[1].tolist(), w.count.tolist(), strict=True)):
-                if c:
-                    key, me = (x, y), int(ids[a + i])
-                    old = texts_seen.setdefault(key, me)
-                    if old == me:
-                        lead[i] = True
-                    else:
-                        equal.append((me, old))
-            if equal:
-                e = np.array(equal, dtype=np.int64)
-                yield pd.DataFrame({"kind": np.zeros(len(e), dtype=np.int32), "key": e[:, 0], "id": e[:, 1]})
+                lead[i] = bool(c) and task.first((x, y), int(ids[a + i]))
             stay = lead[doc]
             number = np.cumsum(lead) - 1
             sig = signatures(number[doc[stay]], cells[stay], int(lead.sum()))
-            keys = band_keys(sig).view(np.int64)
-            src, dst, key_out, id_out = [], [], [], []
-            for me, row in zip(ids[a:b][lead].tolist(), keys.tolist(), strict=True):
-                met = set()
+            for me, row in zip(ids[a:b][lead].tolist(), band_keys(sig).view(np.int64).tolist(), strict=True):
                 for key in row:
-                    old = bands_seen.get(key)
-                    if old is None:
-                        bands_seen[key] = me
-                        key_out.append(key)
-                        id_out.append(me)
-                    elif old != me:
-                        met.add(old)
-                src += [me] * len(met)
-                dst += met
-            if src:
-                yield pd.DataFrame({"kind": np.ones(len(src), dtype=np.int32), "key": np.array(src, dtype=np.int64), "id": np.array(dst, dtype=np.int64)})
-            if key_out:
-                yield pd.DataFrame({"kind": np.full(len(key_out), 2, dtype=np.int32), "key": np.array(key_out, dtype=np.int64), "id": np.array(id_out, dtype=np.int64)})
+                    task.band(key, me)
+    yield from task.rows()
+
+
+def contracted(rows: DataFrame, rounds: int = 2) -> DataFrame:
+    """Links (a, b), b < a, that join the ids of ``rows`` (key, id) that share a key, about one for each id: in each round an id goes to the least id under any of its keys."""
+    links = None
+    while True:
+        own = Window.partitionBy("key")
+        met = rows.select("key", "id", F.min("id").over(own).alias("least"), F.max("id").over(own).alias("most")).where("least < most")
+        met = common.written(met.select("key", "id", "least"), "met")
+        if not rounds or not met.limit(1).count():
+            rest = met.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct()
+            return rest if links is None else links.union(rest)
+        rounds -= 1
+        labels = common.written(met.groupBy("id").agg(F.min("least").alias("to")), "met")
+        new = labels.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))
+        links = new if links is None else links.union(new)
+        rows = met.select("key", "id").join(labels, "id").select("key", F.col("to").alias("id")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) for each end of the links (a, b): the least id of its component. Each round is written, so that lineage stays short."""
-    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("id"), F.col("a").alias("other")))
-    ends = common.written(ends.distinct(), "ends")
-    labels = common.written(ends.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
-    for _ in range(MOST_ROUNDS):
-        near = ends.join(labels.select(F.col("id").alias("other"), "root"), "other").select("id", "root")
-        least = near.union(labels).groupBy("id").agg(F.min("root").alias("root"))
-        # the root's own label, as known, is a shorter way
-        jump = least.join(labels.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.least("root", F.coalesce("next", "root")).alias("root"))
-        new = common.written(jump, "labels")
-        moved = new.join(labels.withColumnRenamed("root", "old"), "id").where("root <> old").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-    raise RuntimeError("propagation did not settle")
+    """(id, root) for each end of the links (a, b): the least id of its component.
+
+    Rounds of contraction: each node goes to the first of its closed neighbourhood,
+    and links between the nodes that are left go on. The order is that of ids in even
+    rounds, which takes stars around their least id at once, and that of a new hash
+    in odd ones, which leaves three quarters of any graph's nodes or less, as expected.
+    Work is linear in the links, as no neighbour lists are built. Each round is written,
+    so that lineage stays short. Joins to hubs are left to adaptive execution's
+    splitting of skewed partitions: one side of each has a node once.
+    """
+    links = edges.where("a <> b").select("a", "b")
+    links = common.written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ends")
+    steps: list[DataFrame] = []
+    while links.limit(1).count():
+        if len(steps) > MOST_ROUNDS:
+            raise RuntimeError("contraction did not settle")
+        order = (lambda c: F.col(c)) if len(steps) % 2 == 0 else (lambda c, seed=len(steps): F.xxhash64(c, F.lit(seed)))
+        own = lambda c: F.struct(order(c).alias("o"), F.col(c).alias("id"))
+        to = common.written(links.groupBy("a").agg(F.min(own("b")).alias("b")).select(F.col("a").alias("id"), F.least(own("a"), F.col("b"))["id"].alias("rep")), "steps")
+        steps.append(to)
+        for end in ("a", "b"):
+            links = links.join(to.withColumnRenamed("id", end), end).withColumn(end, F.col("rep")).drop("rep")
+        links = common.written(links.where("a <> b").select("a", "b").distinct(), "ends")
+    if not steps:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    roots = steps[-1].withColumnRenamed("rep", "root")
+    for to in reversed(steps[:-1]):
+        roots = to.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
+    roots = common.written(roots, "roots")
+    # hashes may have led to another member than the least
+    least = roots.groupBy("root").agg(F.min("id").alias("least")).where("least <> root")
+    return roots.join(least, "root", "left").select("id", F.coalesce("least", "root").alias("root"))
 
 
 class _Sets:
@@ -320,17 +382,26 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _in_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links within blocks (kind 1), and for components of several blocks the ids that their root doesn't reach here (kind 2)."""
+    """Links of a block's texts to the least id of their group, of itself too, the head left out (kind 1), the head's link to its group (kind 3), and for components of several blocks the ids that the head doesn't reach here (kind 2)."""
     out = []
     pdf = pdf.sort_values(["block", "head", "id"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
     sets = _text_sets(pdf["text"])
-    ids, comps, wide = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["wide"].to_numpy()
+    ids, comps, wide, heads = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["wide"].to_numpy(), pdf["head"].to_numpy()
     for a, b in _runs(pdf["block"].to_numpy()):
-        own, group = cluster(sets[a:b])
-        out += [(1, ids[a + i], ids[a + p]) for i, p in enumerate(own) if p != i]
-        out += [(1, ids[a + p], ids[a + g]) for p, g in set(zip(own, group, strict=True)) if p != g]
-        if wide[a]:
-            out += [(2, ids[a + i], comps[a]) for i, g in enumerate(group) if g != group[0]]
+        _, group = cluster(sets[a:b])
+        found: dict[int, list[int]] = {}
+        for i, g in enumerate(group):
+            found.setdefault(g, []).append(a + i)
+        for g, rows in found.items():
+            led = any(heads[i] for i in rows)
+            others = [int(ids[i]) for i in rows if not heads[i]]
+            if others:
+                least = min(others)
+                out += [(1, i, least) for i in others]
+                if led:
+                    out.append((3, least, comps[a]))
+                elif wide[a]:
+                    out += [(2, i, comps[a]) for i in others]
     return pd.DataFrame(out, columns=["kind", "a", "b"])
 
 
@@ -355,13 +426,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     sketch = common.written(known.mapInPandas(_sketch, "kind int, key long, id long"), "bands")
-    equal = sketch.where("kind = 0").select(F.col("key").alias("a"), F.col("id").alias("b"))
-    shared = sketch.where("kind = 2").groupBy("key").agg(F.min("id").alias("least"), F.collect_list("id").alias("ids")).where("size(ids) > 1")
-    met = shared.select(F.explode("ids").alias("a"), F.col("least").alias("b")).where("a <> b")
-    edges = sketch.where("kind = 1").select(F.col("key").alias("a"), F.col("id").alias("b")).union(met)
-    parts = components(edges)
+    equal = sketch.where("kind = 0").select(F.col("key").alias("id"), F.col("id").alias("lead"))
+    inside = sketch.where("kind = 1").select(F.col("key").alias("id"), F.col("id").alias("rep"))
+    across = components(contracted(sketch.where("kind = 2").select("key", "id")))
 
-    parts = parts.select("id", F.col("root").alias("comp"))
+    # a task's component goes where its least id goes
+    parts = inside.join(across.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("comp"))
+    parts = common.written(parts.union(across).distinct(), "parts")
     large = parts.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = _dealt(parts, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     here = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -372,23 +443,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # a filter of bounded size keeps texts without a partner from travelling
     texts = common.likely(known, "id", placed.select("id"))
     inner = common.written(common.map_groups(texts.join(placed.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links")
-    links = [equal, inner.where("kind = 1").select("a", "b")]
+    stars = inner.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("rep"))
+    edges = inner.where("kind = 3").select("a", "b")
 
     apart = inner.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("comp")).distinct()
     if apart.limit(1).count():
-        # those that no root reached meet every block of their component, BLOCK of them at a time
+        # those that no head reached meet every block of their component, BLOCK of them at a time
         chunks = apart.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
         every = _dealt(placed.where("wide").select("id", "comp", "nth"), chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "comp", "nth", "chunk")
         counts = _dealt(apart, large.join(chunks, "comp"))
         rest = counts.select("id", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
         meet = every.union(rest).distinct().select("id", "comp", F.lit(False).alias("wide"), F.lit(False).alias("head"), F.xxhash64("comp", "nth", "chunk").alias("block"))
-        links.append(common.written(common.map_groups(texts.join(meet.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links").select("a", "b"))
-
-    links_all = links[0]
-    for x in links[1:]:
-        links_all = links_all.union(x)
-    classes = components(links_all)
-    return rows.select("id").join(classes, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"))
+        more = common.written(common.map_groups(texts.join(meet.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links").select("a", "b")
+        for end in ("a", "b"):  # between the groups that the ids are in
+            more = more.join(stars.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
+        edges = edges.union(more.where("a <> b"))
+    roots = components(edges).withColumnRenamed("id", "rep")
+
+    homes = placed.select("id").distinct().join(stars, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    homes = common.written(homes.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("label")), "homes")
+    copies = equal.join(homes.withColumnRenamed("id", "lead"), "lead", "left").select("id", F.coalesce("label", "lead").alias("label"))
+    told = common.written(homes.union(copies).distinct(), "told")
+    # an id that repeats with several texts may have several labels: these are one class
+    several = told.groupBy("id").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("id", "least")
+    same = told.join(several, "id").where("label <> least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct()
+    if same.limit(1).count():
+        told = told.join(components(same).withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    classes = told.groupBy("id").agg(F.min("label").alias("label"))
+    return rows.select("id").join(classes, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce(F.least("label", "id"), "id").alias("class_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

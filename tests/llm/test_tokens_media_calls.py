@@ -196,6 +196,41 @@ def test_cropped_and_edited_copies(spark):
     assert media_copies.media_groups(df.limit(0)).count() == 0
 
 
+def turned(pixels, degrees, grow):
+    """The picture turned around its middle and resized, between its pixels linearly."""
+    h, w = pixels.shape
+    t = np.deg2rad(degrees)
+    y, x = np.mgrid[0 : int(h * grow), 0 : int(w * grow)]
+    y, x = (y - (int(h * grow) - 1) / 2) / grow, (x - (int(w * grow) - 1) / 2) / grow
+    sx, sy = np.cos(t) * x + np.sin(t) * y + (w - 1) / 2, np.cos(t) * y - np.sin(t) * x + (h - 1) / 2
+    x0, y0 = np.clip(np.floor(sx).astype(int), 0, w - 2), np.clip(np.floor(sy).astype(int), 0, h - 2)
+    fx, fy = np.clip(sx - x0, 0, 1), np.clip(sy - y0, 0, 1)
+    return np.rint((pixels[y0, x0] * (1 - fx) + pixels[y0, x0 + 1] * fx) * (1 - fy) + (pixels[y0 + 1, x0] * (1 - fx) + pixels[y0 + 1, x0 + 1] * fx) * fy)
+
+
+def test_recall_of_turned_scaled_and_cropped_copies(spark):
+    """Through the index: a quarter turn, 7 degrees, one and a half times the size, and a crop to half the area."""
+    rng = np.random.default_rng(17)
+    base = [media_copies.picture(v) for v in rng.normal(size=(40, 64))]
+    kinds = [lambda p: p, lambda p: np.rot90(p), lambda p: turned(p, 7, 1), lambda p: turned(p, 0, 1.5), lambda p: p[12:80, 14:82]]
+    rows = [(40 * k + i, media_copies.encode_pgm(f(p))) for k, f in enumerate(kinds) for i, p in enumerate(base)]
+    got = {r["media_id"]: r["class_id"] for r in media_copies.media_groups(spark.createDataFrame(rows, "media_id long, image binary").repartition(4)).collect()}
+    for k in range(1, 5):
+        assert np.mean([got[40 * k + i] == got[i] for i in range(40)]) >= 0.9
+    assert len({got[i] for i in range(40)}) == 40
+
+
+def test_many_small_flushes_give_the_same_classes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 64))
+    rows = [(i, media_copies.encode_pgm(media_copies.edited(media_copies.picture(base[i % 6]), i % 4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "media_id long, image binary").repartition(3)
+    classes = lambda: {r["media_id"]: r["class_id"] for r in media_copies.media_groups(df).collect()}
+    before = classes()
+    monkeypatch.setattr(media_copies, "REMEMBERED", 50)
+    assert classes() == before == {i: i % 6 for i in range(40)}
+
+
 def test_agreement_takes_turned_and_scaled_pictures():
     rng = np.random.default_rng(3)
     a = media_copies.picture(rng.normal(size=64))

@@ -253,11 +253,13 @@ def test_copies_under_a_key_that_another_leads(spark):
     rng = np.random.default_rng(8)
     first = rng.integers(0, 2**63, (8, 2)).astype(np.uint64)
     second = first.copy()
-    for bit in range(0, 120, 12):  # a flip in each chunk, so that no key is shared
-        second[1:, bit // 64] ^= np.uint64(1 << (bit % 64))
+    for bit in range(0, 120, 12):  # a flip in each chunk, so that no key but that of the first two is shared
+        second[2:, bit // 64] ^= np.uint64(1 << (bit % 64))
     other = rng.integers(0, 2**63, (8, 2)).astype(np.uint64)
-    other[0] = first[0]
-    a, x, y = described(other, 1), described(first, 2), described(second, 2)
+    other[:2] = first[:2]
+    a, x, y = described(other, 2), described(first, 2), described(second, 2)
+    for d in (a, x, y):  # the first two are neighbours
+        d["x"][1], d["y"][1] = d["x"][0] + 1, d["y"][0]
     assert media_copies.agreeing(x, y) == 8 and media_copies.agreeing(a, x) == media_copies.agreeing(a, y) == 0
     found = spark.createDataFrame([(i, d.tobytes()) for i, d in ((1, a), (2, x), (3, y))], "id long, descriptors binary")
     assert [tuple(r) for r in media_copies.linked(found).collect()] == [(2, 3)]

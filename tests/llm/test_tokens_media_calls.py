@@ -158,6 +158,83 @@ def test_page_text():
     assert html_text.main_text(PAGE, frozenset()).split("\n") == ["Head & line", "One bold word. Two <3 A", "Three four", "a", "b", "c", "d"]
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ('<p>Read <span class="ad">BUY NOW</span> more</p>', "Read more"),
+        ("<p>a<select><option>A<option>B</select>tail</p>", "atail"),
+        ("<p><button>Buy</button>z</p>", "z"),
+        ('<p>x <a hidden>secret</a>y <span class="comment-count">5</span></p>', "x y"),
+        ("<p>before</p><p><a href=x title=it's>keep this</a> and this</p><p>second don't stop</p><p>third", "before\nkeep this and this\nsecond don't stop\nthird"),
+        ('<article><div class="post-header"><h1>Title</h1></div><header><p>By</p></header><p>Text</p></article>', "Title\nBy\nText"),
+        ('<section class="related-work"><p>a</p></section><div class="share-price"><p>b</p></div><p id="comment-policy">c</p><div class="tags-explained">d</div>', "a\nb\nc\nd"),
+        ('<div class="ads"><p>' + "long " * 50 + "</p></div><p>short</p>", ("long " * 50).strip() + "\nshort"),
+        ('<p title="a > b" class=x>q</p><a href=">">r</a>', "q\nr"),
+    ],
+)
+def test_page_text_of_odd_markup(source, text):
+    assert html_text.main_text(source, frozenset()) == text
+
+
+def articles(source):
+    """By another way: the standard parser, keeping what lies in an article."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.lines, self.parts = 0, [], []
+
+        def end(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
+            if text:
+                self.lines.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCK:
+                self.end()
+            self.inside += tag == "article"
+            if tag == "br" and self.inside:
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCK:
+                self.end()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data)
+
+    w = Walk()
+    w.feed(source or "")
+    w.close()
+    w.end()
+    return "\n".join(w.lines)
+
+
+def test_all_pages_as_by_a_walk_of_their_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    wrong = [r["page_id"] for r in pages.collect() if got[r["page_id"]] != articles(r["html"])]
+    assert not wrong, wrong[:5]
+
+
+def test_the_tree_alone_cuts_menus_adverts_and_footers(spark):
+    """Elements renamed, so that no list knows them."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = pages
+    for tag in ("nav", "footer", "aside"):
+        plain = plain.withColumn("html", F.regexp_replace("html", f"<(/?){tag}\\b", "<$1div"))
+    plain = plain.withColumn("html", F.regexp_replace("html", 'class="ad"', 'class="q"'))
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(plain).collect()}
+    right = [got[r["page_id"]] == articles(r["html"]) for r in pages.collect()]
+    assert np.mean(right) >= 0.95, np.mean(right)
+
+
 def test_pages_of_a_site(spark):
     page = lambda i: f"<html><body><div class=x{i}><p>Same words on all pages</p></div><div class=main><p>Story {i} of {i * 7}</p></div></body></html>"
     rows = [(i, f"http://a.example.com/{i}", page(i), 1) for i in range(30)] + [(100, None, None, 1), (101, "no url", "", 1), (102, "http://b.example.com/1", PAGE, 1), (103, "http://b.example.com/2", "<p>" + "long " * 30000, 1), (104, "http://c", "<div <p>broken & <b", 1)]

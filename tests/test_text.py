@@ -23,6 +23,26 @@ def test_chart_numbers_by_dialect_and_again(spark):
     assert each(spark, tx.chart_no, once) == expected
 
 
+def test_split_page_numbers(spark):
+    raw = ["AD 2-WMKJ-6-1 2", "AD 2-WMKJ-6-12 3", "AD 2-WMKJ-6-1 23", "AD 2-WMKJ-6-12 34", "AD 2-WMKJ-6-1 2 of 3", "AD 2-WMKJ-0-1"]
+    assert each(spark, tx.chart_no_numeric, raw) == ["AD 2-WMKJ-6-12", None, "AD 2-WMKJ-6-1", "AD 2-WMKJ-6-12", "AD 2-WMKJ-6-12", None]
+
+
+def test_templates_of_packages(spark):
+    rows = [("STAR", None, "RNAV", None), ("STAR", None, "UNKNOWN", None), ("SID", None, "radar", None), ("SID", None, "RNAV", None), (None, "DEPARTURE", "VOR", None), ("OTHER", "ARRIVAL", "DME_ARC", None), ("APPROACH", None, "ILS_LOC", None), ("APPROACH", None, "RNP_AR", None), ("APPROACH", None, "NDB", None), (None, None, None, None), ("STAR", None, "RNAV", "own_v2")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, c string, n string, o string")
+    got = [r["x"] for r in df.select("i", tx.template_id(F.col("p"), F.col("c"), F.col("n"), F.col("o")).alias("x")).orderBy("i").collect()]
+    assert got == ["rnav_star_v1", "generic_procedure_v1", "conventional_sid_v1", "rnav_sid_v1", "conventional_sid_v1", "dme_arc_star_v1", "ils_loc_approach_v1", "rnp_ar_approach_v1", "generic_procedure_v1", "generic_procedure_v1", "own_v2"]
+
+
+def test_candidates_of_charts_and_support_pages(spark):
+    text = "ADLOV 1E XADLOV 1E rwy 16l 16 NM 160° +3000 ft 210 KIAS RNAV 1 turn left\nMSA 25 NM\rTWR 118.1 ILS required aTWR\n013812.5N 0103401.5E TORA 3800 R-160/330"
+    df = spark.createDataFrame([(1, text)], "i int, t string")
+    got = lambda support: {(r["kind"], r["value"]) for r in df.select(F.explode(tx.typed_candidates(F.col("t"), F.lit(support))).alias("c")).select("c.*").collect()}
+    assert got(False) == {("procedure_name", "ADLOV 1E"), ("runway", "RWY 16L"), ("distance", "16 NM"), ("distance", "25 NM"), ("course", "160°"), ("altitude", "+3000 FT"), ("speed", "210 KIAS"), ("navigation_spec", "RNAV 1"), ("holding", "TURN LEFT"), ("msa", "MSA 25 NM"), ("frequency", "TWR 118.1"), ("equipment_requirement", "ILS")}
+    assert got(True) == {("frequency", "TWR 118.1"), ("equipment_requirement", "ILS"), ("equipment_requirement", "ILS REQUIRED ATWR"), ("note", "TORA 3800 R-160/330"), ("waypoint", "013812.5N 0103401.5E")}
+
+
 def test_procedure_names(spark):
     names = ["VAMOS FOUR DEPARTURE", "TIARA TWO A DEPARTURE", "LARIT 1T RWY 07C", "vamos4", "BEKOL SID", "", None]
     assert each(spark, tx.procedure_id, names) == ["VAMOS4", "TIARA2A", "LARIT1T", "VAMOS4", None, None, None]

@@ -30,6 +30,8 @@ PHRASES = [
     "AD-2-WSSS-SID-1.1 TABULAR DESCRIPTION VMR 6A",
     "TMA CTR HOLDING AREAS ATIS 127.85 TWR 118.1",
     "AERODROME OBSTACLE CHART DETAILS OF LOCATION MINIMA",
+    "STANDARD ARRIVAL CHART - ICAO RWY 34L RNAV PIMOK 1J AD 2-WMKJ-6-1 2",
+    "STANDARD ARRIVAL CHART - ICAO RWY 34R RADAR PIMOK 1K AD 2-WMKJ-6-12 3",
 ]
 NAMES = ["VAMOS FOUR DEPARTURE", "Tiara Two A Departure", "LARIT 1T RWY 07C", "rutas four arrival", "ADLOV 1E", "BEKOL SID", "", "PIMOK 1J RWY 16/34", "TIARA 2A", "OMKO1K", "VAMOS4", "EMTUV NINE"]
 RUNWAYS = ["RWY16", "RW16B", "16L", "rwy 34 r", "RW34", "", "07C", "RW02B"]

@@ -52,10 +52,18 @@ def rule_classify_pages(spark, sf_dir):
     return c.select("page_no", "role", "category", "navigation", F.coalesce("support", F.lit("-")).alias("support"), F.coalesce("runway", F.lit("-")).alias("runway"), "package", tx.navigation_words(F.col("up"), F.col("package")).alias("navigation_strict"))
 
 
-_NUM = f"regexp_extract(edge, {quoted(tx.NUMERIC_NO)}, %d)"
+#: As SQL's engine has no lookahead, a further digit of the page takes what follows it along; other than digits are dropped then.
+_NUMERIC = r"A\s*D\s*-?\s*2\s*-\s*([A-Z]\s*[A-Z]\s*[A-Z]\s*[A-Z])\s*-\s*([0-9]{1,2})\s*-\s*([0-9]{1,2}(?:\s+[0-9](?:[^0-9]|$))?)"
+
+
+def _numeric_sql(text: str) -> str:
+    part = lambda n, drop: f"regexp_replace(regexp_extract({text}, {quoted(_NUMERIC)}, {n}), '{drop}', '', 'g')"
+    return f"CASE WHEN TRY_CAST({part(2, '[^0-9]')} AS INT) > 0 AND TRY_CAST({part(3, '[^0-9]')} AS INT) BETWEEN 1 AND 99 THEN 'AD 2-' || {part(1, '[^A-Z]')} || '-' || CAST({part(2, '[^0-9]')} AS INT) || '-' || CAST({part(3, '[^0-9]')} AS INT) END"
+
+
 _CHART_NO = f"""
   coalesce(
-    CASE WHEN regexp_matches(u, {quoted(tx.NUMERIC_NO)}) THEN 'AD 2-' || regexp_replace(regexp_extract(u, {quoted(tx.NUMERIC_NO)}, 1), '\\s+', '', 'g') || '-' || CAST(regexp_extract(u, {quoted(tx.NUMERIC_NO)}, 2) AS INT) || '-' || CAST(regexp_extract(u, {quoted(tx.NUMERIC_NO)}, 3) AS INT) END,
+    {_numeric_sql('u')},
     CASE WHEN regexp_matches(u, {quoted(tx.LETTERED_NO)}) THEN 'AD 2-' || regexp_extract(u, {quoted(tx.LETTERED_NO)}, 1) || '-' || regexp_extract(u, {quoted(tx.LETTERED_NO)}, 2) END,
     CASE WHEN regexp_matches(raw, {quoted(tx.KOREAN_NO)}) THEN 'AD 2-' || regexp_extract(raw, {quoted(tx.KOREAN_NO)}, 1) || '-' || CAST(regexp_extract(raw, {quoted(tx.KOREAN_NO)}, 2) AS INT) || CASE WHEN regexp_extract(raw, {quoted(tx.KOREAN_NO)}, 4) <> '' THEN '-' || CAST(regexp_extract(raw, {quoted(tx.KOREAN_NO)}, 4) AS INT) ELSE '' END END,
     CASE WHEN regexp_matches(raw, {quoted(tx.JAPANESE_NO)}) THEN 'AD 2-' || regexp_extract(raw, {quoted(tx.JAPANESE_NO)}, 1) || '-' || regexp_extract(raw, {quoted(tx.JAPANESE_NO)}, 2) END)"""
@@ -159,21 +167,23 @@ def text_keys(spark, sf_dir):
     return p.select("p_partkey", h.alias("hash31"), tx.slug(F.col("p_name")).alias("slug"), tx.safe_file(F.col("p_name")).alias("file_name"), F.upper(tx.natural_key(F.concat(F.lit("a"), (F.col("p_partkey") % 1000).cast("string")))).alias("natural_key"))
 
 
-#: Typed extraction from page text: (kind, pattern, confidence).
-CANDIDATES = [("procedure_name", r"[A-Z]{5} ?\d[A-Z]", 0.82), ("runway", r"RWY ?\d{2}[LRC]?", 0.78), ("distance", r"\d+(?:\.\d+)? ?NM", 0.7), ("altitude", r"[+-]?\d{3,5} ?FT", 0.68), ("speed", r"\d{2,3} ?KIAS", 0.72), ("navigation_spec", r"RNAV ?1|RNP APCH|RNP AR|DME/DME", 0.76), ("frequency", r"(?:APP|TWR|SMC|ATIS)[^\n\r]{0,60}?\d{3}\.\d{1,3}", 0.74), ("waypoint", r"\d{6}(?:\.\d+)?[NS] +\d{7}(?:\.\d+)?[EW]", 0.65)]
-
-
-def _candidate(kind: str, confidence: float):
-    return lambda v: F.struct(F.lit(kind).alias("kind"), tx.squeezed(v).alias("value"), F.lit(confidence).alias("confidence"))
+def _found_sql(kind: str, pattern: str, confidence: float, where: str) -> str:
+    test = {"all": "", "support": " WHERE support", "charts": " WHERE NOT support"}[where]
+    return f"SELECT page_no, '{kind}' AS kind, unnest(regexp_extract_all(text, {quoted(pattern)})) AS value, {confidence}::DOUBLE AS confidence FROM p{test}"
 
 
 @query("typed_candidates", f"""
-WITH p AS ({AIP_PAGES}), x AS ({' UNION ALL '.join(f"SELECT page_no, '{k}' AS kind, unnest(regexp_extract_all(upper(text), {quoted(p)})) AS value, {c}::DOUBLE AS confidence FROM p" for k, p, c in CANDIDATES)})
-SELECT DISTINCT page_no, kind, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS value, confidence FROM x""")
+WITH p AS (SELECT a.page_no, a.text || chr(10) || coalesce(d.text, '') AS text, {sql_rules('up', tx.SUPPORT_TYPES, 'NULL')} IS NOT NULL AS support FROM (SELECT *, {_UP} AS up FROM ({AIP_PAGES})) a JOIN documents d ON d.doc_id = a.page_no),
+x AS ({' UNION ALL '.join(_found_sql(*c) for c in tx.CANDIDATES)}),
+v AS (SELECT page_no, kind, translate(trim(regexp_replace(value, '\\s+', ' ', 'g')), '{tx.ASCII_LOWER}', '{tx.ASCII_UPPER}') AS value, confidence FROM x)
+SELECT page_no, kind, value, min(confidence) AS confidence FROM v WHERE value <> '' GROUP BY page_no, kind, value""")
 def typed_candidates(spark, sf_dir):
-    p = aip_pages(spark, sf_dir).withColumn("up", F.upper("text"))
-    found = F.flatten(F.array(*[F.transform(tx.matches(F.col("up"), pat), _candidate(k, c)) for k, pat, c in CANDIDATES]))
-    return p.select("page_no", F.explode(found).alias("c")).select("page_no", "c.*").distinct()
+    """Of pages with the whole text of their document below."""
+    pages = aip_pages(spark, sf_dir).withColumn("support", tx.support_type(F.upper(tx.squeezed(F.col("text")))).isNotNull())
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.coalesce("text", F.lit("")).alias("own"))
+    p = pages.join(own, "page_no").select("page_no", "support", F.concat("text", F.lit("\n"), "own").alias("text"))
+    found = p.select("page_no", F.explode(tx.typed_candidates(F.col("text"), F.col("support"))).alias("c")).select("page_no", "c.*").where("value <> ''")
+    return found.groupBy("page_no", "kind", "value").agg(F.min("confidence").alias("confidence"))
 
 
 @query("title_window", """
@@ -220,23 +230,13 @@ def group_keys(spark, sf_dir):
     return c.select("page_no", key.alias("group_key"))
 
 
-#: Which template a package takes, by type and navigation; None stands for any.
-TEMPLATES = [("APPROACH", "RNP_AR", "approach-rnp-ar"), ("APPROACH", None, "approach"), ("SID", "RNAV", "sid-rnav"), ("SID", None, "sid"), ("STAR", "DME_ARC", "star-dme-arc"), ("STAR", None, "star")]
-
-
-def template_id(package, navigation):
-    """The first row of TEMPLATES that fits, else generic."""
-    out = None
-    for p, n, t in TEMPLATES:
-        hit = (package == p) if n is None else (package == p) & (navigation == n)
-        out = F.when(hit, t) if out is None else out.when(hit, t)
-    return out.otherwise("generic")
-
-
 @query("prompt_route", f"""
 WITH p AS ({AIP_PAGES}), {_CLASSIFIED},
 s AS (SELECT *, CASE category WHEN 'ARRIVAL' THEN 'STAR' WHEN 'DEPARTURE' THEN 'SID' WHEN 'APPROACH' THEN 'APPROACH' WHEN 'AERODROME' THEN 'AERODROME' ELSE 'OTHER' END AS package FROM c)
-SELECT page_no, CASE {' '.join(f"WHEN package = '{p}'{'' if n is None else f" AND navigation = '{n}'"} THEN '{t}'" for p, n, t in TEMPLATES)} ELSE 'generic' END AS template,
+SELECT page_no, CASE package || ' ' || navigation WHEN 'STAR RNAV' THEN 'rnav_star_v1' WHEN 'STAR DME_ARC' THEN 'dme_arc_star_v1' WHEN 'SID RNAV' THEN 'rnav_sid_v1'
+  WHEN 'SID CONVENTIONAL' THEN 'conventional_sid_v1' WHEN 'SID RADAR' THEN 'conventional_sid_v1' WHEN 'SID VOR' THEN 'conventional_sid_v1' WHEN 'SID NDB' THEN 'conventional_sid_v1' WHEN 'SID DME_ARC' THEN 'conventional_sid_v1'
+  WHEN 'APPROACH ILS' THEN 'ils_loc_approach_v1' WHEN 'APPROACH LOC' THEN 'ils_loc_approach_v1' WHEN 'APPROACH ILS_LOC' THEN 'ils_loc_approach_v1' WHEN 'APPROACH VOR' THEN 'vor_approach_v1'
+  WHEN 'APPROACH RNP' THEN 'rnp_approach_v1' WHEN 'APPROACH RNP_AR' THEN 'rnp_ar_approach_v1' ELSE 'generic_procedure_v1' END AS template,
   'Package ' || package || ' by ' || navigation || ' for ' || coalesce(runway, '') || '.' AS prompt, CASE WHEN package IN ('SID', 'STAR', 'APPROACH') AND navigation IN ('ILS', 'ILS_LOC', 'LOC', 'VOR', 'NDB', 'DME_ARC') THEN 'REQUIRED' WHEN package IN ('SID', 'STAR', 'APPROACH') THEN 'OPTIONAL' ELSE 'NEVER' END AS send_policy
 FROM s""")
 def prompt_route(spark, sf_dir):
@@ -244,7 +244,7 @@ def prompt_route(spark, sf_dir):
     program = F.col("package").isin("SID", "STAR", "APPROACH")
     policy = F.when(program & F.col("navigation").isin("ILS", "ILS_LOC", "LOC", "VOR", "NDB", "DME_ARC"), "REQUIRED").when(program, "OPTIONAL").otherwise("NEVER")
     prompt = tx.rendered("Package {{ package }} by {{navigation}} for {{runway}}.{{ unknown }}", {"package": F.col("package"), "navigation": F.col("navigation"), "runway": F.col("runway")})
-    return c.select("page_no", template_id(F.col("package"), F.col("navigation")).alias("template"), prompt.alias("prompt"), policy.alias("send_policy"))
+    return c.select("page_no", tx.template_id(F.col("package"), F.col("category"), F.col("navigation")).alias("template"), prompt.alias("prompt"), policy.alias("send_policy"))
 
 
 @query("image_quality", f"""

@@ -83,6 +83,28 @@ def test_equal_rows_of_one_id_both_stay(spark):
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (2, 50)]
 
 
+def test_rows_of_one_id_with_several_texts(spark):
+    rng = random.Random(15)
+    a, b = prose(rng, 40, 5000), prose(rng, 30, 5000)
+    rows = [(3, a), (3, f"{a} {b}"), (2, f"x {b}"), (5, a), (5, b), (5, f"{a} tail")]
+    seen = defaultdict(list)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 19):
+            seen[tuple(w[k : k + 20])].append((i, k))
+    expected = []
+    for i, t in rows:
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - 19):
+            if min(seen[tuple(w[k : k + 20])]) < (i, k):
+                gone |= set(range(k, k + 20))
+        expected.append((i, len(w), len(gone)))
+    for parts in (1, 4):
+        got = substring_dedup.substring_dedup(frame(spark, rows).repartition(parts)).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == sorted(expected)
+
+
 def brute_classes(rows, level=0.8):
     sets = []
     for _, t in rows:

@@ -104,10 +104,10 @@ def _merged(doc: np.ndarray, text: np.ndarray, start: np.ndarray, count: np.ndar
     return pd.DataFrame({"doc": doc[cut], "th": text[cut], "ranges": [pairs[a:b].tobytes() for a, b in zip(cut, to, strict=True)]})
 
 
-def _send(held: dict[bytes, tuple], gone: list[tuple], window: int) -> Iterator[pd.DataFrame]:
+def _send(held: dict[bytes, tuple], ties: list[tuple[bytes, tuple]], gone: list[tuple], window: int) -> Iterator[pd.DataFrame]:
     if held:
-        values = list(held.values())
-        yield pd.DataFrame({"bucket": np.array([v[4] for v in values], dtype=np.int64), "pack": list(held), "doc": np.array([v[0] for v in values], dtype=np.int64), "th": np.array([v[2] for v in values], dtype=np.int64), "start": np.array([v[1] for v in values], dtype=np.int32), "ranges": None})
+        values = [*held.values(), *(v for _, v in ties)]
+        yield pd.DataFrame({"bucket": np.array([v[4] for v in values], dtype=np.int64), "pack": [*held, *(p for p, _ in ties)], "doc": np.array([v[0] for v in values], dtype=np.int64), "th": np.array([v[2] for v in values], dtype=np.int64), "start": np.array([v[1] for v in values], dtype=np.int32), "ranges": None})
     if gone:
         a = np.array(gone, dtype=np.int64)
         out = _merged(a[:, 0], a[:, 1], a[:, 2], a[:, 3])
@@ -118,6 +118,7 @@ def _send(held: dict[bytes, tuple], gone: list[tuple], window: int) -> Iterator[
 
 def _pack(it: Iterator[pd.DataFrame], bits: int, twice: np.ndarray, hot: np.ndarray, window: int, m: int) -> Iterator[pd.DataFrame]:
     held: dict[bytes, tuple] = {}
+    ties: list[tuple[bytes, tuple]] = []  # of rows that share an id and a start, in other texts
     gone: list[tuple] = []
     size = 0
     common.release()
@@ -156,10 +157,13 @@ def _pack(it: Iterator[pd.DataFrame], bits: int, twice: np.ndarray, hot: np.ndar
                     held[pack] = (i, at, h, n, key)
                 elif (i, at) != old[:2]:
                     gone.append((i, h, at, n))
+                elif h != old[2]:
+                    ties.append((pack, (i, at, h, n, key)))
+                    size += len(pack)
             if size > COMBINE_BYTES or len(gone) > 400_000:
-                yield from _send(held, gone, window)
-                held, gone, size = {}, [], 0
-    yield from _send(held, gone, window)
+                yield from _send(held, ties, gone, window)
+                held, ties, gone, size = {}, [], [], 0
+    yield from _send(held, ties, gone, window)
 
 
 def _ranked(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -239,9 +243,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the same id and an earlier start) goes; kept words are joined by one space.
     A null text counts as having no words and gives an empty text; so does an
     empty one. Texts with fewer than ``window`` words stay as they are. Rows
-    with one id count as one document: of two equal rows both stay, as neither
-    starts earlier; ids that repeat with different texts are not meant to occur,
-    and of their windows at one start only one is sure to be judged. A null id comes first. An empty table gives no rows. Other
+    with one id count as one document: of windows that several of its rows have at
+    one start none is earlier. A null id comes first. An empty table gives no rows. Other
     columns are kept, and columns named n_words or n_removed are replaced.
     """
     spark = docs.sparkSession

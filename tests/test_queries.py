@@ -39,7 +39,8 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_others_give_the_same_rows_however_they_are_dealt(spark, name):
     """Rows, and the same ones with another number of partitions."""
-    rows = lambda: sorted(str(r) for r in catalog.QUERIES[name](spark, DATA).collect())
+    data = "/root/testdata/sf0.01"  # suppliers are too few below for arcs
+    rows = lambda: sorted(str(r) for r in catalog.QUERIES[name](spark, data).collect())
     first = rows()
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "7")

@@ -173,15 +173,12 @@ def _found_sql(kind: str, pattern: str, confidence: float, where: str) -> str:
 
 
 @query("typed_candidates", f"""
-WITH p AS (SELECT a.page_no, a.text || chr(10) || coalesce(d.text, '') AS text, {sql_rules('up', tx.SUPPORT_TYPES, 'NULL')} IS NOT NULL AS support FROM (SELECT *, {_UP} AS up FROM ({AIP_PAGES})) a JOIN documents d ON d.doc_id = a.page_no),
+WITH p AS (SELECT a.page_no, a.text, {sql_rules('up', tx.SUPPORT_TYPES, 'NULL')} IS NOT NULL AS support FROM (SELECT *, {_UP} AS up FROM ({AIP_PAGES})) a),
 x AS ({' UNION ALL '.join(_found_sql(*c) for c in tx.CANDIDATES)}),
 v AS (SELECT page_no, kind, translate(trim(regexp_replace(value, '\\s+', ' ', 'g')), '{tx.ASCII_LOWER}', '{tx.ASCII_UPPER}') AS value, confidence FROM x)
 SELECT page_no, kind, value, min(confidence) AS confidence FROM v WHERE value <> '' GROUP BY page_no, kind, value""")
 def typed_candidates(spark, sf_dir):
-    """Of pages with the whole text of their document below."""
-    pages = aip_pages(spark, sf_dir).withColumn("support", tx.support_type(F.upper(tx.squeezed(F.col("text")))).isNotNull())
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_no"), F.coalesce("text", F.lit("")).alias("own"))
-    p = pages.join(own, "page_no").select("page_no", "support", F.concat("text", F.lit("\n"), "own").alias("text"))
+    p = aip_pages(spark, sf_dir).withColumn("support", tx.support_type(F.upper(tx.squeezed(F.col("text")))).isNotNull())
     found = p.select("page_no", F.explode(tx.typed_candidates(F.col("text"), F.col("support"))).alias("c")).select("page_no", "c.*").where("value <> ''")
     return found.groupBy("page_no", "kind", "value").agg(F.min("confidence").alias("confidence"))
 

@@ -249,23 +249,35 @@ def test_exact_groups_as_by_brute_force(spark, corpus, monkeypatch):
     assert Counter(map(tuple, got.collect())) == expected
 
 
+def line_chunks(lines):
+    """(from, to) of each chunk, cut from left to right."""
+    h = [int(hashlib.md5(s.encode()).hexdigest()[:8], 16) for s in lines]
+    p = 2**31 - 1
+    r = [(v + (h[k - 1] if k else 0) % p * 1000003) % p for k, v in enumerate(h)]
+    out, at, n = [], 0, len(lines)
+    for k in range(1, n + 1):
+        cut = 2 <= k <= n - 2 and r[k - 1] < r[k - 2] and r[k - 1] <= r[k]
+        if cut or k == n:
+            while k - at > 9:
+                out.append((at, at + 8))
+                at += 8
+            out.append((at, k))
+            at = k
+    return out
+
+
 def brute_lines(rows):
-    value = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
     first, parts = {}, []
-    for n, (i, t) in enumerate(rows):
+    for i, t in rows:
         lines = (t or "").split("\n")
-        h = [0, 0, *map(value, lines)]
-        at = 0
-        for k in range(1, len(lines) + 1):
-            if (h[k + 1] + 31 * h[k] + 961 * h[k - 1]) % 4 == 0 or k == len(lines):
-                chunk = "\n".join(lines[at:k])
-                parts.append((n, i, at, k, chunk))
-                key = ((i is not None, i or 0), at)
-                if k - at >= 2:
-                    first[chunk] = min(first.get(chunk, key), key)
-                at = k
+        for a, b in line_chunks(lines):
+            chunk = "\n".join(lines[a:b])
+            parts.append((i, a, b, chunk))
+            key = ((i is not None, i or 0), a)
+            if b - a >= 2:
+                first[chunk] = min(first.get(chunk, key), key)
     out = {i: [len((t or "").split("\n")), 0, []] for i, t in rows}
-    for n, i, a, b, chunk in parts:
+    for i, a, b, chunk in parts:
         if b - a >= 2 and ((i is not None, i or 0), a) != first[chunk]:
             out[i][1] += b - a
         else:
@@ -280,10 +292,21 @@ def test_lines_as_by_brute_force(spark, monkeypatch):
     shared = [line() for _ in range(30)]
     rows = [(i, "\n".join([*[line() for _ in range(rng.randrange(5))], *shared[rng.randrange(5) :], *[line() for _ in range(rng.randrange(4))]])) for i in range(20)]
     rows += [(30, None), (31, ""), (32, "\n\n\n"), (33, "\n\n\n"), (34, "single"), (None, "\n".join(shared)), (35, "\n".join(line() for _ in range(4000)))]
+    rows += [(40 + n, "\n".join(["same"] * n)) for n in (2, 3, 9, 10, 17, 18, 19, 100)] + [(150, "\n".join(shared[:3] * 30)), (151, "\n".join(["one", *shared[:3] * 30]))]
     got = line_dedup.line_dedup(frame(spark, rows).repartition(4)).collect()
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in got} == brute_lines(rows)
 
 
+def test_copies_go_whole_and_periodic_texts_shrink(spark):
+    rng = random.Random(9)
+    texts = ["\n".join(prose(rng, 4, 900) for _ in range(n)) for n in range(2, 40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)]
+    rows += [(500, "\n".join(["equal"] * 400)), (501, "\n".join(["a b", "c d", "e f"] * 200))]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(frame(spark, rows).repartition(3)).collect()}
+    assert all(got[100 + i]["n_removed"] == got[100 + i]["n_lines"] and got[i]["n_removed"] == 0 for i in range(len(texts)))
+    assert got[500]["n_removed"] > 370 and got[501]["n_removed"] > 570
+
+
 @pytest.mark.parametrize("run", [near_dedup.near_groups, exact_dedup.exact_groups, line_dedup.line_dedup, substring_dedup.substring_dedup])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0

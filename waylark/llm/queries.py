@@ -60,16 +60,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-e AS (
-  SELECT doc_id, i, lines[i] AS line, len(lines) AS n,
-    (('0x' || substr(md5(lines[i]), 1, 8))::BIGINT
-      + 31 * CASE WHEN i > 1 THEN ('0x' || substr(md5(lines[i - 1]), 1, 8))::BIGINT ELSE 0 END
-      + 961 * CASE WHEN i > 2 THEN ('0x' || substr(md5(lines[i - 2]), 1, 8))::BIGINT ELSE 0 END) % 4 = 0 AS cut
+h AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n, ('0x' || substr(md5(lines[i]), 1, 8))::BIGINT AS v
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
-c AS (SELECT doc_id, i, line, n, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
-k AS (SELECT doc_id, part, min(i) AS first, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, part),
-g AS (SELECT doc_id, part, n_lines, n_lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) > 1 AS gone FROM k),
-m AS (SELECT c.doc_id, c.i, c.line, g.gone FROM c JOIN g USING (doc_id, part))
+r AS (SELECT *, (v + coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY i), 0) % 2147483647 * 1000003) % 2147483647 AS r FROM h),
+e AS (SELECT *, i BETWEEN 2 AND n - 2 AND r < lag(r) OVER (PARTITION BY doc_id ORDER BY i) AND r <= lead(r) OVER (PARTITION BY doc_id ORDER BY i) AS cut FROM r),
+p AS (SELECT doc_id, i, line, n, coalesce(sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY i) - 1 AS nth, count(*) OVER (PARTITION BY doc_id, part) AS size FROM p),
+c AS (SELECT doc_id, i, line, part, least(nth // 8, greatest(size - 2, 0) // 8) AS piece FROM q),
+k AS (SELECT doc_id, part, piece, min(i) AS first, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, part, piece),
+g AS (SELECT doc_id, part, piece, n_lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, first) > 1 AS gone FROM k),
+m AS (SELECT c.doc_id, c.i, c.line, g.gone FROM c JOIN g USING (doc_id, part, piece))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id

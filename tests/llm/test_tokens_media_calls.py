@@ -141,6 +141,23 @@ def test_toxic_words_are_learnt(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got.values())
 
 
+def test_texts_that_do_not_fit_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TEXT_BYTES", 3000)
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 60_000)
+    rng = random.Random(5)
+    plain, harsh = ["tree", "river", "paper", "window", "music"], ["vile", "filth", "scum"]
+    text = lambda toxic: " ".join(rng.choice(harsh if toxic and rng.random() < 0.4 else plain) for _ in range(40))
+    rows = [(i, text(i % 3 == 0) if i % 10 else "tree " * 20_000) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (3, rows[3][1]), (3, "tree"), (None, "tree")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = [r for r in toxicity.toxicity_scores(docs, marks).collect() if r["held_out"] and r["doc_id"] % 10]
+    assert len(got) > 50 and sum(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in got) / len(got) > 0.95
+    scores = lambda d: sorted((r["doc_id"] or -1, r["score"]) for r in toxicity.toxicity_scores(d, marks).collect())
+    one, other = scores(docs), scores(docs.repartition(5))
+    assert len(one) == len(other) == 603
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(one, other, strict=True))
+
+
 def test_no_labels_no_verdict(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     got = toxicity.toxicity_scores(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()

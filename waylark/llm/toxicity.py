@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,7 +37,9 @@ LEAST_STEPS = 1200
 MISS_COST = 2
 #: At most so many labelled rows of each class, and bytes of text, are learnt from; one row in CALIBRATION of them sets the thresholds.
 MOST_ROWS = 3000
+#: Bytes of all texts that one learns from, and of each; longer ones are passed over.
 MOST_BYTES = 32 << 20
+MOST_TEXT_BYTES = 1 << 20
 CALIBRATION = 5
 FOLDS = 5
 
@@ -240,7 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A classifier learnt from labelled rows outside the held-out fold.
 
     Learns from MOST_ROWS rows of each class at most, those with the least hash of
-    their id, and whole texts up to MOST_BYTES together. Rows with a null id or label
+    their id, and of these from whole texts of MOST_TEXT_BYTES at most, in the order of
+    that hash while they come to MOST_BYTES together; only those reach the driver. Of
+    rows that repeat an id the least text counts. Rows with a null id or label
     are left out. Without labelled rows of both classes every score is about 0.5.
     """
     common.text_batches(docs.sparkSession)
@@ -251,16 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(MOST_ROWS)
         picked = part if picked is None else picked.union(part)
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").dropDuplicates(["id"])
-    rows = sorted(((r["id"], r["y"], prepared(r["text"])) for r in found.toLocalIterator()), key=lambda r: common.mix(np.array([r[0]], dtype=np.int64).view(np.uint64))[0])
-    texts, y, cal, size = [], [], [], 0
-    for i, (_, label, text) in enumerate(rows):
-        size += len(text)
-        if size > MOST_BYTES:
-            break
-        texts.append(text)
-        y.append(label)
-        cal.append(i % CALIBRATION == 0)
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.octet_length("text") <= MOST_TEXT_BYTES).join(F.broadcast(picked), "id")
+    found = common.written(found.groupBy("id", "y").agg(F.min("text").alias("text")), "labelled")
+    # ids and lengths of 2 * MOST_ROWS rows at most, so that one task can add them up
+    upto = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id"))
+    few = found.select("id", upto.alias("upto")).where(F.col("upto") <= MOST_BYTES).select("id")
+    rows = sorted(((r["id"], r["y"], prepared(r["text"])) for r in found.join(F.broadcast(few), "id").collect()), key=lambda r: common.mix(np.array([r[0]], dtype=np.int64).view(np.uint64))[0])
+    texts, y, cal = [t for _, _, t in rows], [label for _, label, _ in rows], [i % CALIBRATION == 0 for i in range(len(rows))]
     model = Classifier()
     labelled, held = np.array(y, dtype=np.int64), np.array(cal, dtype=bool)
     if not len(labelled) or not 0 < labelled.sum() < len(labelled):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, line_dedup, media_copies, near_dedup, packing, substring_dedup, tool_calls, toxicity
+from . import bpe, centroids, divergence, exact_dedup, html_text, line_dedup, media_copies, near_dedup, packing, substring_dedup, tool_calls, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,5 +134,59 @@ FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn
 """
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op5_media_copies": op5_media_copies, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_tool_calls": op10_tool_calls}
-ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_tool_calls": OP10_SQL}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::BIGINT AS ln FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+l AS (SELECT lang, count(*)::BIGINT AS v, sum(ln)::BIGINT AS lt FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*)::BIGINT AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+gt AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::BIGINT AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT gt.lang, gt.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (gt.total + 5 * l.v) AS BIGINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.ln + 5)) // (l.lt + 5 * l.v) AS BIGINT) AS q
+  FROM gt JOIN k ON k.lang = gt.lang JOIN l ON l.lang = gt.lang LEFT JOIN c ON c.lang = gt.lang AND c.source = gt.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    """Eleven assignments and ten moves, one after the other."""
+    near = """a{r} AS MATERIALIZED (SELECT vec_id, row, q, arg_min(j, (d, j)) AS j, min(d) AS d FROM (
+    SELECT v.vec_id, v.row, v.q, c.j, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v CROSS JOIN c{r} c) GROUP BY vec_id, row, q)"""
+    move = """m{r} AS (SELECT j, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT j, unnest(q) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY j, i),
+c{n} AS MATERIALIZED (SELECT c.j, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM m{r} GROUP BY j) m ON m.j = c.j)"""
+    steps = [near.format(r=0)]
+    for r in range(10):
+        steps += [move.format(r=r, n=r + 1), near.format(r=r + 1)]
+    return (
+        """WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS j, q FROM v QUALIFY j < 8),
+"""
+        + ",\n".join(steps)
+        + """,
+t AS (SELECT j, sum(d)::BIGINT AS ci FROM a10 GROUP BY j)
+SELECT a.vec_id, CAST(a.j AS INT) AS cluster, a.d AS distance, t.ci AS cluster_inertia, CAST((SELECT sum(ci) FROM t) AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a10 a JOIN c10 c ON c.j = a.j JOIN t ON t.j = a.j
+"""
+    )
+
+
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op5_media_copies": op5_media_copies, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_tool_calls": op10_tool_calls, "op11_source_divergence": op11_source_divergence, "op13_centroids": op13_centroids}
+ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_tool_calls": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_centroids": _op13_sql()}

@@ -50,7 +50,7 @@ def first_centroids(quantised: DataFrame, k: int = CENTROIDS) -> np.ndarray:
     """The ``k`` vectors whose ids hash lowest, in that order; fewer where there are fewer. Of rows of one id the lesser vector comes first."""
     digest = F.sha2(F.concat(F.lit(SEED), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     rows = quantised.select(digest.alias("h"), "q").orderBy("h", "q").limit(k).collect()
-    return np.array([r.q for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.q for r in rows], dtype=np.int64).reshape(len(rows), len(rows[0].q) if rows else 0)
 
 
 class Tree:
@@ -187,6 +187,8 @@ def moved(forest: DataFrame, centroids: np.ndarray) -> np.ndarray:
                     np.add.at(n, cluster, size[at] if whole else 1)
                 total = total + own
         used = np.flatnonzero(n)
+        if not len(used):
+            return
         yield pd.DataFrame({"cluster": used, "n": n[used], "total": [[str(x) for x in total[j]] for j in used]})
 
     wide = forest.mapInPandas(sums, "cluster int, n long, total array<string>").select("cluster", "n", F.posexplode("total").alias("at", "x"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, divergence, exact_dedup, html_text, line_dedup, media_copies, near_dedup, packing, substring_dedup, tool_calls, toxicity
+from . import bpe, centroids, divergence, exact_dedup, html_text, line_dedup, media_copies, near_dedup, packing, secret_scan, substring_dedup, tool_calls, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,6 +161,57 @@ FROM r QUALIFY part = 'pair' OR rank <= 50
 """
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _op12_sql() -> str:
+    """The patterns' spans by the lengths of what lies between matches; runs by their characters, one row each."""
+    m = secret_scan
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    case = lambda values: "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + " END"
+    spans = lambda name, p: f"""
+{name} AS (SELECT row, hits[i] AS hit, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (
+  SELECT row, hits, parts, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT row, regexp_extract_all(text, {text(p)}) AS hits, string_split_regex(text, {text(p)}) AS parts FROM d WHERE regexp_matches(text, {text(p)}))))"""
+    o = lambda i: case({k: v[i] for k, v in m.ORDINARY.items()})
+    change = case(m.CHANGES)
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+{spans("s0", m.ASSIGN)},{spans("s1", m.ACCESS)},{spans("s2", m.HEX)},{spans("s3", m.RUN)},
+base AS MATERIALIZED (
+  SELECT row, start, 0 AS kind, start + length(hit) AS stop FROM s0 WHERE length(regexp_extract(hit, {text(m.ASSIGN)}, 1)) >= {m.LEAST_VALUE}
+  UNION ALL SELECT row, start, 1, start + length(hit) FROM s1 UNION ALL SELECT row, start, 2, start + length(hit) FROM s2),
+r0 AS (SELECT row, start, start + length(hit) AS stop, rtrim(hit, '=') AS hit FROM s3),
+r1 AS (SELECT *, regexp_matches(hit, '[0-9]') AS digit FROM r0 WHERE length(hit) >= {m.LEAST}),
+r2 AS (SELECT *, CASE
+    WHEN digit AND (regexp_matches(hit, '^[0-9a-f]+$') AND regexp_matches(hit, '[a-f]') OR regexp_matches(hit, '^[0-9A-F]+$') AND regexp_matches(hit, '[A-F]')) THEN 16
+    WHEN digit AND regexp_matches(hit, '^[A-Z2-7]+$') THEN 32
+    WHEN digit AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') AND (regexp_matches(hit, '^[A-Za-z0-9+/]+$') OR regexp_matches(hit, '^[A-Za-z0-9_-]+$')) THEN 64 END AS k FROM r1),
+r3 AS MATERIALIZED (SELECT row, start, stop, k, CASE k WHEN 16 THEN lower(hit) ELSE translate(hit, '-_', '+/') END AS hit FROM r2 WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = r2.row AND b.start < r2.stop AND r2.start < b.stop)),
+c0 AS (SELECT row, start, k, length(hit) AS n, i, hit[i] AS c, instr({case({k: text(a) for k, a in m.ALPHABETS.items()})}, hit[i]) - 1 AS v,
+    CASE WHEN regexp_matches(hit[i], '[a-z]') THEN 0 WHEN regexp_matches(hit[i], '[A-Z]') THEN 1 ELSE 2 END AS cl FROM (SELECT *, unnest(range(1, length(hit) + 1)) AS i FROM r3)),
+c1 AS (SELECT *, lag(v) OVER w AS pv, lag(cl) OVER w AS pc FROM c0 WINDOW w AS (PARTITION BY row, start ORDER BY i)),
+q0 AS (SELECT row, start, any_value(k)::DOUBLE AS k, any_value(n)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS ss, count(*) FILTER (WHERE cl <> pc) AS ch,
+    (sum(v * pv) FILTER (WHERE (i - 1) % {m.PIECE} <> 0))::DOUBLE AS ps, count(*) FILTER (WHERE (i - 1) % {m.PIECE} <> 0) AS pn FROM c1 GROUP BY row, start),
+q1 AS (SELECT row, start, sum(n * n)::DOUBLE AS nn FROM (SELECT row, start, count(*) AS n FROM c0 GROUP BY row, start, v) GROUP BY row, start),
+q2 AS (SELECT *, s / n AS mean, ss / n - (s / n) * (s / n) AS spread, k / n * nn - n AS chi, n * (k * {o(0)} - 1) AS excess FROM q0 JOIN q1 USING (row, start)),
+q3 AS (SELECT *, CASE WHEN spread > 0 THEN (ps / greatest(pn, 1) - mean * mean) / spread ELSE 1 END AS serial FROM q2),
+q4 AS (SELECT row, start, n, greatest(abs((chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n)), abs((ch - (n - 1) * {change}) / sqrt((n - 1) * {change} * (1 - {change}))), abs((serial + 1 / n) * sqrt(n))) AS worst,
+    (-(chi - (k - 1 + excess * (n - 1) / n)) / sqrt(2 * (k - 1) + 4 * excess) + (ch - (n - 1) * {o(1)}) / sqrt((n - 1) * {o(1)} * (1 - {o(1)})) - (serial - {o(2)}) * sqrt(n)) / sqrt(3) AS z FROM q3),
+q5 AS (SELECT row, start, CASE WHEN n >= 128 THEN 3 WHEN n >= 64 THEN 2 WHEN n >= 32 THEN 1 ELSE 0 END AS class,
+    CASE WHEN worst <= {m.LIMIT} AND z > 0 THEN least(floor((z * z / 2 + 0.6931471805599453) * {m.BINS}), {m.LAST_BIN}) ELSE 0 END AS bin FROM q4),
+q6 AS (SELECT class, bin, count(*) AS n FROM q5 GROUP BY class, bin),
+q7 AS (SELECT class, bin, exp(-bin / {m.BINS}) <= {m.ALPHA} * sum(n) OVER (PARTITION BY class ORDER BY bin DESC) / sum(n) OVER (PARTITION BY class) AS ok FROM q6),
+q8 AS (SELECT class, min(bin) AS least FROM q7 WHERE ok GROUP BY class),
+random AS (SELECT r3.row, r3.start, 3 AS kind, r3.stop FROM r3 JOIN q5 USING (row, start) JOIN q8 USING (class) WHERE q5.bin >= q8.least),
+spans AS (SELECT *, (['assign', 'access', 'hex', 'random'])[kind + 1] || ':' || start || ':' || stop AS name FROM (SELECT * FROM base UNION ALL SELECT * FROM random)),
+g AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c, count(*) FILTER (WHERE kind = 3) AS e,
+    string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans FROM spans GROUP BY row)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, coalesce(e, 0) AS n_random, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row)
+"""
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -188,5 +239,5 @@ FROM a10 a JOIN c10 c ON c.j = a.j JOIN t ON t.j = a.j
     )
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op5_media_copies": op5_media_copies, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_tool_calls": op10_tool_calls, "op11_source_divergence": op11_source_divergence, "op13_centroids": op13_centroids}
-ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_tool_calls": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_centroids": _op13_sql()}
+QUERIES = {"op1_near_dedup": op1_near_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_html_text": op3_html_text, "op4_bpe": op4_bpe, "op5_media_copies": op5_media_copies, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing, "op8_line_dedup": op8_line_dedup, "op9_toxicity": op9_toxicity, "op10_tool_calls": op10_tool_calls, "op11_source_divergence": op11_source_divergence, "op12_secret_scan": op12_secret_scan, "op13_centroids": op13_centroids}
+ORACLE = {"op6_exact_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_tool_calls": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_secret_scan": _op12_sql(), "op13_centroids": _op13_sql()}

@@ -311,3 +311,21 @@ def test_copies_go_whole_and_periodic_texts_shrink(spark):
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).count() == 0
     assert run(frame(spark, [(1, None), (2, "")])).count() == 2
+
+
+def test_rows_stay_by_their_text_and_not_by_their_id(spark):
+    docs = spark.createDataFrame([(1, "same"), (2, "SAME"), (1, "other words"), (None, "x"), (None, "y"), (3, "x"), (4, "z"), (4, "z"), (5, None), (6, "")], "doc_id long, text string")
+    kept = sorted((r.doc_id or 0, r.text) for r in exact_dedup.exact_dedup(docs).collect())
+    assert kept == [(0, "y"), (1, "other words"), (2, "SAME"), (3, "x"), (4, "z"), (6, "")]
+
+
+def test_columns_of_any_name(spark):
+    schema = "doc_id long, text string, _gone string, _doc int, _th int, _ranges string, row int, class_id int, c0 string, `a.b` int"
+    passage = " ".join(f"p{i}" for i in range(25))
+    docs = spark.createDataFrame([(i, f"{t} {passage}", "g", 1, 2, "r", 3, 4, "c", 5) for i, t in enumerate(["one", "one", "two three"])], schema)
+    for dedup in (exact_dedup.exact_dedup, near_dedup.near_dedup, substring_dedup.substring_dedup):
+        out = dedup(docs)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        rows = out.collect()
+        assert len(rows) == {"exact_dedup": 2, "near_dedup": 1, "substring_dedup": 3}[dedup.__name__]
+        assert all((r._gone, r._doc, r._th, r._ranges, r.row, r.c0, r["a.b"]) == ("g", 1, 2, "r", 3, "c", 5) for r in rows)

@@ -28,16 +28,9 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Of rows with equal normalised text the one with the largest id stays. Null
-    texts count as empty texts, so all of them form one group. A null id comes
-    below any other; rows that repeat an id and text are each counted, and of
-    several rows with the largest id every one has ``kept`` true, as nothing
-    tells them apart. An empty table gives no rows. Other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("_t"))
+def _met(docs: DataFrame, id_col: str, text_col: str, carried: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that are certainly alone and rows that met their group's totals, both with doc_id, keep_id, group_size, kept, text_sha256 and row: ``carried`` of the row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("_t"), carried.alias("row"))
     bits = common.filter_bits(docs.count())
     at = lambda seed: F.pmod(F.xxhash64(F.col("_t"), F.lit(seed)), F.lit(bits))
     counted = rows.select(F.explode(F.array(at(1), at(2))).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
@@ -46,26 +39,41 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.bitmap_construct_agg(F.bitmap_bit_position(F.when(F.col("n") >= HOT_ROWS, F.col("pos")))).alias("hot"),
     )
     both = common.written(both, "bloom")
-    seen = rows.select("doc_id", F.sha2(F.col("_t"), 256).alias("text_sha256"), at(1).alias("p1"), at(2).alias("p2"))
+    seen = rows.select("doc_id", "row", F.sha2(F.col("_t"), 256).alias("text_sha256"), at(1).alias("p1"), at(2).alias("p2"))
     for p in ("p1", "p2"):
         side = F.broadcast(both.select(F.col("bucket").alias(f"b_{p}"), F.col("twice").alias(f"t_{p}"), F.col("hot").alias(f"h_{p}")))
         seen = seen.join(side, F.bitmap_bucket_number(F.col(p)) == F.col(f"b_{p}"), "left")
     test = lambda k: common.bit_is_set(F.col(f"{k}_p1"), F.col("p1")) & common.bit_is_set(F.col(f"{k}_p2"), F.col("p2"))
-    seen = seen.select("doc_id", "text_sha256", test("t").alias("twice"), test("h").alias("hot"))
-    alone = seen.where(~F.col("twice")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    seen = seen.select("doc_id", "row", "text_sha256", test("t").alias("twice"), test("h").alias("hot"))
+    alone = seen.where(~F.col("twice")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "row")
     # whether a row is hot follows from its text alone, so rows and totals of a group agree on it
     many = seen.where("twice").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     totals = many.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("hot").alias("hot"))
     totals = totals.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    met = many.join(totals, ["text_sha256", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return alone.unionByName(met)
+    met = many.join(totals, ["text_sha256", "salt"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "row")
+    return alone, met
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of rows with equal normalised text the one with the largest id stays. Null
+    texts count as empty texts, so all of them form one group. A null id comes
+    below any other; rows that repeat an id and text are each counted, and of
+    several rows with the largest id every one has ``kept`` true, as nothing
+    tells them apart. An empty table gives no rows. Other columns are ignored.
+    """
+    alone, met = _met(docs, id_col, text_col, F.lit(None).cast("int"))
+    return alone.unionByName(met).drop("row")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever they are named.
 
-    Ids are taken to be unique here; the ids that go are few or many, so the
-    anti join is left to the optimiser.
+    Of each group of ``exact_groups`` exactly one row stays, of several rows with the
+    largest id an arbitrary one. Rows travel with their group, not by id, so that ids may
+    repeat and be null: rows of one id and different texts are judged each for itself.
     """
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    alone, met = _met(docs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = met.where("kept").groupBy("text_sha256").agg(F.first("row").alias("row"))
+    return alone.select("row").unionByName(one.select("row")).select("row.*")

@@ -475,5 +475,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the first of their class, with all their columns."""
-    gone = near_groups(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, id_col, text_col).where("doc_id <> class_id").select("doc_id").distinct()
+    # qualified, as docs may have a column of any name
+    return docs.alias("_docs").join(gone.alias("_gone"), F.col(f"_docs.`{id_col}`").cast("long") == F.col("_gone.doc_id"), "left_anti")

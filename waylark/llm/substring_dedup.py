@@ -281,14 +281,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = found.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list("ranges").alias("_ranges"))
 
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    whole = docs.select(*names, key.alias("_doc"), F.xxhash64(text).alias("_th")).join(ranges, ["_doc", "_th"], "left").drop("_doc", "_th")
-    schema = T.StructType([f for f in whole.schema.fields if f.name != "_ranges"] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    own = {c: f"c{i}" for i, c in enumerate(names)}  # as docs may have a column of any name
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], key.alias("_doc"), F.xxhash64(text).alias("_th")).join(ranges, ["_doc", "_th"], "left").drop("_doc", "_th")
+    schema = T.StructType([T.StructField(c, whole.schema[n].dataType) for c, n in own.items()] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:  # Arrow, so that other columns pass unchanged
-            out = [_kept(t, r, window) for t, r in zip(common.encoded(batch[text_col].to_pylist()), batch["_ranges"].to_pylist(), strict=True)]
+            out = [_kept(t, r, window) for t, r in zip(common.encoded(batch[own[text_col]].to_pylist()), batch["_ranges"].to_pylist(), strict=True)]
             texts = pa.array([x[2].decode("utf-8", "surrogatepass") for x in out], pa.string())
-            columns = {c: texts if c == text_col else batch[c] for c in names}
+            columns = {c: texts if c == text_col else batch[n] for c, n in own.items()}
             yield pa.RecordBatch.from_pydict(columns | {"n_words": pa.array([x[0] for x in out], pa.int64()), "n_removed": pa.array([x[1] for x in out], pa.int64())})
 
     return whole.mapInArrow(cut, schema)

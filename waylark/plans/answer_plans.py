@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waylark.operators import answers
+from waylark.functions.tolerance import round_half_up
+from waylark.operators import answers, documents
 
 from .common import table
 
@@ -111,3 +112,77 @@ def merged_answers(spark, sf_dir):
         one = m.select("task", F.lit(name).alias("part"), F.posexplode(texts).alias("ordinal", "text"))
         rows = one if rows is None else rows.unionByName(one)
     return rows.select("task", "part", (F.col("ordinal") + 1).alias("ordinal"), "text")
+
+
+# ---------------------------------------------------------------- documents
+
+#: A conversation's turns as a nested JSON document, deeper with each kind; keys stand in alphabetical order, as VARIANT keeps them.
+
+
+def turn_documents(spark, sf_dir):
+    """(conv_id, doc): the texts of a conversation, by the remainder of their turn at four depths and under a key that is passed over."""
+    t = table(spark, sf_dir, "conversations")
+    text, n = F.coalesce("text", F.lit("")), F.col("turn")
+    kind = n % 5
+    deep = lambda inner, levels: deep(F.concat(F.lit('{"k":['), inner, F.lit("]}")), levels - 1) if levels else inner
+    quoted = F.to_json(F.struct(text.alias("t")))
+    entry = F.when(kind == 0, quoted).when(kind == 1, F.concat(F.lit('{"a":'), quoted, F.lit(',"rawResponse":'), quoted, F.lit("}"))).when(kind == 2, deep(quoted, 1)).when(kind == 3, deep(quoted, 2)).otherwise(F.concat(F.lit("[12,null,true,"), quoted, F.lit("]")))
+    lines = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", entry.alias("e")))).alias("a"))
+    return lines.select("conv_id", F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["e"]), ","), F.lit("]")).alias("doc"))
+
+
+@query("collected_texts", """
+WITH t AS (SELECT conv_id, turn % 5 AS kind, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS nth FROM conversations)
+SELECT conv_id, nth || CASE kind WHEN 0 THEN ',0' WHEN 1 THEN ',0,0' WHEN 2 THEN ',0,0,0' ELSE ',3,0' END AS path, text FROM t WHERE kind <> 3 AND regexp_matches(text, '[A-Za-z0-9]')""")
+def collected_texts(spark, sf_dir):
+    """The texts of all conversations with their places; those of the fourth kind lie too deep."""
+    found = documents.collected_texts(turn_documents(spark, sf_dir), ["conv_id"], "doc")
+    return found.select("conv_id", F.array_join(F.transform("path", lambda p: p.cast("string")), ",").alias("path"), "text")
+
+
+def model_answers(spark, sf_dir):
+    """(task, doc): an answer for each customer, made of its orders and line items, with fields that are missing, misplaced or of the wrong kind."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    t = lambda x: x.cast("string")
+    o = table(spark, sf_dir, "orders").select(k, c)
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_suppkey", F.row_number().over(w).alias("seq"))
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    name = F.concat(F.lit("P"), t(k % 7), F.lit(" 1A"))
+    sequence = F.when(p % 4 == 0, F.concat(F.lit('"'), t(F.col("seq") * 10), F.lit('"'))).when(p % 4 == 1, "1.5").otherwise(t(F.col("seq") * 10))
+    fix = F.concat(F.when(p % 3 == 0, '"fixIdentifier":"F').otherwise('"toFix":"F'), t(p % 50), F.lit('"'))
+    altitude = F.element_at(F.array(*map(F.lit, ["+03500", "-06000", "4000 9000", "", "FL"])), (s % 5 + 1).cast("int"))
+    turn = F.element_at(F.array(*map(F.lit, ["L", "R", "NONE", "X"])), (s % 4 + 1).cast("int"))
+    leg = F.concat(F.lit('{"procedureName":"'), name, F.lit('","sequence":'), sequence, F.lit(","), fix, F.lit(',"altitudeConstraint":"'), altitude, F.lit('","turnDirection":"'), turn, F.lit('","confidence":'), F.when(p % 5 == 0, "null").otherwise(F.concat(F.lit("0."), t(p % 8 + 1))), F.when(p % 6 == 0, ',"sourcePageNo":3').otherwise(""), F.lit("}"))
+    legs = l.join(o, "o_orderkey").select("o_custkey", "o_orderkey", "seq", leg.alias("leg")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "seq", "leg"))), lambda x: x["leg"]), ",").alias("legs"))
+    made = F.concat(F.lit('{"procedureName":"'), name, F.lit('","runway":"RWY'), t(k % 36), F.lit('"'), F.when(k % 5 == 0, ',"transitionName":"NORTH TRANSITION"').otherwise(""), F.when(k % 3 == 0, ',"confidence":0.25').otherwise(""), F.when(k % 4 == 0, ',"reviewRequired":true').when(k % 4 == 1, ',"reviewRequired":"yes"').otherwise(""), F.lit("}"))
+    procedures = o.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", made.alias("m")))), lambda x: x["m"]), ",").alias("procedures"))
+    whole = procedures.join(legs, "o_custkey", "left")
+    doc = F.concat(
+        F.lit('{"airportIcao":'), F.when(c % 3 == 0, "7").otherwise('"AAAA"'), F.lit(',"procedureClassification":{"packageType":"SID"}'), F.when(c % 2 == 0, ',"packageType":"STAR"').otherwise(""), F.lit(',"confidence":'), F.when(c % 4 == 0, '"0.75"').when(c % 4 == 1, "true").otherwise("0.5"),
+        F.lit(',"procedures":['), F.col("procedures"), F.lit('],"tableLegs":['), F.coalesce("legs", F.lit("")), F.lit("]}"),
+    )
+    return whole.select(c.alias("task"), doc.alias("doc"))
+
+
+@query("normalized_answers", """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS task, 'P' || (o_orderkey % 7) || ' 1A' AS name FROM orders),
+l AS (SELECT o.*, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq FROM lineitem JOIN o ON l_orderkey = k),
+m AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY k, seq) AS nth, CASE WHEN p % 4 = 1 THEN NULL ELSE seq * 10 END AS sq, 'F' || (p % 50) AS fix, CASE s % 4 WHEN 0 THEN 'L' WHEN 1 THEN 'R' WHEN 2 THEN 'STRAIGHT' ELSE '' END AS turn,
+    CASE s % 5 WHEN 0 THEN 'AT_OR_ABOVE:3500:3500:' WHEN 1 THEN 'AT_OR_BELOW:6000::6000' WHEN 2 THEN ':4000::9000' WHEN 3 THEN '' ELSE ':::' END AS altitude, CASE WHEN p % 5 = 0 THEN 0.5::DOUBLE ELSE (p % 8 + 1) / 10.0::DOUBLE END AS conf, CASE WHEN p % 6 = 0 THEN 'tabular page 3' ELSE 'tableLegs' END AS derivation FROM l),
+g AS (SELECT task, name, string_agg(coalesce(sq, 1) || ':' || fix || ':' || turn || ':' || altitude || ':' || derivation, ';' ORDER BY coalesce(sq, 0), nth) AS legs, avg(conf) AS conf, min(nth) AS at_leg,
+    CAST(sum(CASE WHEN p % 4 = 1 THEN 1 ELSE 0 END + CASE WHEN p % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN p % 5 = 0 THEN 0 ELSE 0 END) AS BIGINT) AS repairs FROM m GROUP BY task, name),
+q AS (SELECT *, row_number() OVER (PARTITION BY task, name ORDER BY k DESC) AS rn FROM o),
+x AS (SELECT q.task, q.name, k, coalesce(legs, '') AS legs, g.conf FROM q LEFT JOIN g ON g.task = q.task AND g.name = q.name WHERE rn = 1),
+r AS (SELECT o.task, coalesce((SELECT sum(repairs) FROM g WHERE g.task = o.task), 0) + count(*) FILTER (k % 4 = 1) + CASE WHEN o.task % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o.task % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN o.task % 4 = 1 THEN 1 ELSE 0 END AS n FROM o GROUP BY o.task)
+SELECT x.task, CASE WHEN x.task % 3 > 0 THEN 'AAAA' END AS airport, CASE WHEN x.task % 2 = 0 THEN 'STAR' ELSE 'SID' END AS package, CASE WHEN x.task % 4 = 0 THEN 0.75 ELSE 0.5 END::DOUBLE AS answer_confidence, x.name, CASE WHEN k % 5 > 0 THEN 'RWY' || (k % 36) END AS runway, CASE WHEN k % 5 = 0 THEN 'NORTH' END AS transition, legs,
+  floor(CASE WHEN k % 3 = 0 THEN 0.25::DOUBLE ELSE coalesce(x.conf, 0.5::DOUBLE) END * 1000000.0 + 0.5) / 1000000.0 AS confidence, k % 4 = 0 AS review, CAST(r.n AS BIGINT) AS repairs
+FROM x JOIN r USING (task)""")
+def normalized_answers(spark, sf_dir):
+    """The procedures of all typed answers with their legs, and how many repairs each answer took."""
+    n = documents.normalized(model_answers(spark, sf_dir), ["task"], "doc")
+    number = lambda x: F.coalesce(x.cast("long").cast("string"), F.lit(""))
+    altitude = lambda a: F.when(a.isNotNull(), F.concat_ws(":", F.coalesce(a["kind"], F.lit("")), number(a["altitude_ft"]), number(a["lower_ft"]), number(a["upper_ft"]))).otherwise("")
+    leg = lambda x: F.concat_ws(":", x["sequence"].cast("string"), x["fix"], F.coalesce(x["turn"], F.lit("")), altitude(x["altitude"]), x["derivation"])
+    rows = n.select("task", "airport", "package", F.col("confidence").alias("answer_confidence"), F.size("repairs").cast("long").alias("repairs"), F.explode("procedures").alias("p"))
+    return rows.select("task", "airport", "package", "answer_confidence", "p.name", "p.runway", "p.transition", F.array_join(F.transform("p.legs", leg), ";").alias("legs"), round_half_up(F.col("p.confidence"), 6).alias("confidence"), "p.review", "repairs")

@@ -129,3 +129,27 @@ def test_stream_of_files(spark, tmp_path):
     q = stream.writeStream.foreachBatch(microbatch.upsert_into(str(tmp_path / "t"), "id", "n")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "t/v=0")).count() == 2
+
+
+SHORT = [
+    "SSPAP WMKJWMDAROS1LRW16 010 1 CA + 01000",
+    "SSPAP WMKJWMDAROS1LRW16 010 2P 0020",
+    "SSPAP WMKJWMDAROS1L2RW16020AROSOWMEA1EE R CF + 06000 9000",
+    "SSPAP WMKJWMDAROS1L2RW16020AROSOWMEA2P 12 0145",
+    "SSPAP WMKJWMDAROS1L3NORTH030PIMOKWMEA1E TF 4000",
+    "SSPAP WMKJWMDAROS1L2RW16040VAMOSWMPC1ETF x",
+    "SSPAP WMKJWMDAROS1L2RW16 nothing",
+    "SSPAP WMKJWMXAROS1L2RW16 010 1 CA",
+]
+
+
+def test_records_without_columns(spark):
+    text = spark.createDataFrame([("\n".join([*SHORT, LINES[5]]),)], "text string")
+    got = {(r.runway, r.transition_name, r.sequence): r for r in arinc424.read_legs(text).collect()}
+    fields = lambda *k: tuple(got[k][c] for c in ("fix", "fix_section", "path_terminator", "turn_direction", "altitude_raw", "altitude_value", "distance_nm", "end_of_procedure"))
+    assert fields("RW16", None, "010") == ("", None, "CA", None, "+01000", 1000.0, 2.0, False)
+    assert fields("RW16", None, "020") == ("AROSO", "EA", "CF", "R", "+06000", 6000.0, 14.5, True)
+    assert fields("", "NORTH", "030") == ("PIMOK", "EA", "TF", None, "4000", 4000.0, None, False)
+    assert got["", "NORTH", "030"].branch_role == "ENROUTE"
+    # a record of columns and one without them are one leg
+    assert got["RW16", None, "040"].course_deg == 332.0 and len(got) == 4

@@ -250,3 +250,25 @@ def continuation_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("main", F.when(F.col("event_id") % 3 != 0, F.col("value")))
     known = F.when(F.col("main").isNotNull(), F.col("event_id"))
     return e.groupBy("user_id", "event_type").agg(F.min_by("main", known).alias("first_value"), F.max_by("main", known).alias("last_value"), F.bool_or(F.col("event_id") % 50 == 0).alias("flagged"), F.count_if(F.col("event_id") % 3 == 0).alias("extensions"))
+
+
+@query("short_records", """
+WITH k AS (SELECT s_suppkey AS k, translate(lpad((s_suppkey % 10000)::VARCHAR, 4, '0'), '0123456789', 'ABCDEFGHIJ') || (s_suppkey % 9 + 1) || 'A' AS code, 'RW' || lpad((s_suppkey % 36 + 1)::VARCHAR, 2, '0') AS rw, lpad((s_suppkey % 90 * 10)::VARCHAR, 3, '0') AS sq, 'FX' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') AS fix,
+  s_suppkey % 3 AS shape, s_suppkey % 2 = 0 AS even, lpad((s_suppkey % 90 * 100 + 1000)::VARCHAR, 5, '0') AS alt, s_suppkey % 400 / 10.0::DOUBLE AS nm, (ARRAY['CF', 'TF', 'DF', 'CA'])[CAST(s_suppkey % 4 + 1 AS INT)] AS pt FROM supplier)
+SELECT k AS source, substr(code, 1, 4) || ' ' || substr(code, 5) AS procedure_name, CASE WHEN shape = 2 THEN '' ELSE rw END AS runway, CASE WHEN shape = 2 THEN 'NORTH' END AS transition_name, sq AS sequence, CASE WHEN shape = 1 THEN '' ELSE fix END AS fix, CASE shape WHEN 0 THEN 'EA' WHEN 2 THEN 'PC' END AS fix_section,
+  pt AS path_terminator, CASE WHEN shape < 2 AND even THEN 'L' END AS turn_direction, CASE shape WHEN 0 THEN '+' || alt WHEN 1 THEN '-' || alt END AS altitude_raw, CASE WHEN shape < 2 THEN alt::DOUBLE END AS altitude_value, CASE WHEN shape < 2 THEN nm END AS distance_nm, shape = 0 AS end_of_procedure FROM k""")
+def short_records(spark, sf_dir):
+    """Records without columns, three shapes of them, read by what is left of each line."""
+    k = F.col("s_suppkey")
+    t = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    code = F.concat(F.translate(t(k % 10000, 4), "0123456789", "ABCDEFGHIJ"), (k % 9 + 1).cast("string"), F.lit("A"))
+    runway, sequence, fix = F.concat(F.lit("RW"), t(k % 36 + 1, 2)), t(k % 90 * 10, 3), F.concat(F.lit("FX"), t(k % 1000, 3))
+    turn, altitude, miles = F.when(k % 2 == 0, "L ").otherwise(""), t(k % 90 * 100 + 1000, 5), t(k % 400, 4)
+    pt = F.element_at(F.array(*[F.lit(x) for x in ("CF", "TF", "DF", "CA")]), (k % 4 + 1).cast("int"))
+    head = F.concat(F.lit("SSPAP WMKJWMD"), code)
+    named = F.array(F.concat(head, F.lit("2"), runway, sequence, fix, F.lit("WMEA1EE "), turn, pt, F.lit(" + "), altitude), F.concat(head, F.lit("2"), runway, sequence, fix, F.lit("WMEA2P  7  "), miles))
+    bare = F.array(F.concat(head, runway, F.lit(" "), sequence, F.lit(" 1 "), turn, pt, F.lit(" -"), altitude), F.concat(head, runway, F.lit(" "), sequence, F.lit(" 2P "), miles), F.lit("SSPAP WMKJWMD nothing"))
+    glued = F.array(F.lit("no record"), F.concat(head, F.lit("3NORTH"), sequence, fix, F.lit("WMPC1E"), pt))
+    texts = table(spark, sf_dir, "supplier").select(k.alias("id"), F.array_join(F.when(k % 3 == 0, named).when(k % 3 == 1, bare).otherwise(glued), "\n").alias("text"))
+    legs = arinc424.read_legs(texts, id_col="id")
+    return legs.select("source", "procedure_name", "runway", "transition_name", "sequence", "fix", "fix_section", "path_terminator", "turn_direction", "altitude_raw", "altitude_value", "distance_nm", "end_of_procedure")

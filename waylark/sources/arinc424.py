@@ -92,6 +92,73 @@ def parse_records(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Terminators as they are looked for in records without columns, and how the rest of such a record begins: with a fix, a distance alone, or no fix.
+TERMINATORS = ["IF", "TF", "CA", "CI", "CR", "AF", "CF", "DF", "RF", "FM", "FA", "FC", "FD", "VM", "VA", "VI", "VD", "VR", "PI", "HM", "HF", "HA"]
+SHORT_FIX = r"(\d{3})([A-Z0-9]{5})([A-Z0-9]{4})(1[A-Z]{1,4}|2P)(?:\b|$)"
+SHORT_DISTANCE = r"(\d{3})\s+2P(?:\s|$)"
+SHORT_NO_FIX = rf"(\d{{3}})\s+([123][A-Z]?)\s+(?:([LR])\s+)?({'|'.join(TERMINATORS)})(?=[A-Z0-9\s]|$)"
+
+
+def parse_short(lines: DataFrame) -> DataFrame:
+    """Rows like those of ``parse_records`` for records whose columns have shifted, such as pasted ones.
+
+    The route stands in its columns. What follows it is read by the first of three
+    beginnings that is there, after the route or else anywhere; then terminator, turn,
+    altitude and distance by the first or last text of their shape in what is left of
+    the line behind that. Fields that only columns tell stay null. Lines that no beginning
+    fits give no rows.
+    """
+    l = F.rtrim("line")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    at = F.when(F.substring(l, 20, 2) == "RW", 20).otherwise(21)
+    runway = F.regexp_extract(F.substring(l, at, F.lit(6)), r"^(RW\d{2}[A-Z]?)", 1)
+    q = F.trim(field(l, "qualifier"))
+    enroute = (runway == "") & field(l, "route_type").isin("3", "6") & q.rlike("^[A-Z0-9]{2,5}$")
+    code = F.trim(field(l, "route_code"))
+    good = l.rlike(r"^S[A-Z]{3}P\s") & field(l, "airport").rlike("^[A-Z]{4}$") & field(l, "region").rlike("^[A-Z]{2}$") & field(l, "subsection").rlike("^[DEF]$") & code.rlike("^[A-Z0-9]{4,6}$") & ((runway != "") | enroute)
+    df = lines.where(good).withColumn("_l", l).withColumn("_runway", runway).withColumn("_enroute", enroute).withColumn("_q", q)
+    after = F.substring(F.col("_l"), F.when(F.col("_runway") != "", at + F.length("_runway")).otherwise(21 + F.length("_q")), F.lit(1 << 20))
+    places = [(where, p) for where in (after, F.col("_l")) for p in (SHORT_FIX, SHORT_DISTANCE, SHORT_NO_FIX)]
+    of = lambda where, p: F.struct(F.lit(p).alias("kind"), F.regexp_extract(where, p, 0).alias("all"), *[F.regexp_extract(where, p, i).alias(f"g{i}") if i <= {SHORT_FIX: 4, SHORT_DISTANCE: 1, SHORT_NO_FIX: 4}[p] else F.lit("").alias(f"g{i}") for i in (1, 2, 3, 4)])
+    begun = None
+    for where, p in places:
+        begun = F.when(where.rlike(p), of(where, p)) if begun is None else begun.when(where.rlike(p), of(where, p))
+    df = df.withColumn("_b", begun).where("_b is not null")
+    b = lambda c: F.col(f"_b.{c}")
+    named, bare = b("kind") == SHORT_FIX, b("kind") == SHORT_NO_FIX
+    distance = (named & b("g4").startswith("2P")) | (b("kind") == SHORT_DISTANCE) | (bare & b("g2").startswith("2P"))
+    df = df.withColumn("kind", F.when(distance, "DISTANCE").otherwise("PRIMARY")).withColumn("_rest", F.substring(F.col("_l"), F.instr(F.col("_l"), b("all")) + F.length(b("all")), F.lit(1 << 20)))
+    rest, main = F.col("_rest"), F.col("kind") == "PRIMARY"
+    last = lambda p, g=1: F.try_element_at(F.regexp_extract_all(rest, F.lit(p), F.lit(g)), F.lit(-1))
+    spaced = F.nullif(F.regexp_extract("_l", rf"(?:^|[^A-Z])({'|'.join(TERMINATORS)})(?:[^A-Z]|$)", 1), F.lit(""))
+    behind = F.regexp_replace("_l", r"^.*\d{3}[A-Z0-9]{5}[A-Z0-9]{4}1E+", "")
+    glued = F.coalesce(*[F.when(behind.contains(t), F.lit(t)) for t in TERMINATORS])
+    terminator = F.when(bare, b("g4")).otherwise(F.coalesce(spaced, glued))
+    turn = F.coalesce(F.when(bare, F.nullif(b("g3"), F.lit(""))), F.nullif(F.regexp_extract(rest, r"(?:^|\s)([LR])(?:\s|$)", 1), F.lit("")))
+    signed = last(r"([+-]\s*\d{4,5})\b")
+    plain = F.try_element_at(F.filter(F.regexp_extract_all(rest, F.lit(r"\b(\d{4,5})\b"), F.lit(1)), lambda x: x.cast("int").between(1000, 60000)), F.lit(-1))
+    raw = F.coalesce(F.regexp_replace(signed, r"\s+", ""), plain)
+    miles = last(r"\b(\d{4})\b").cast("double") / 10
+    only = lambda c: F.when(main, c)
+    extension = F.when(~main, F.struct(F.lit("2P").alias("continuation_type"), text.alias("raw_value"), F.when(miles.isNotNull(), "DISTANCE").otherwise("UNKNOWN").alias("interpreted_as")))
+    fields = {
+        "airport": field(F.col("_l"), "airport"), "subsection": field(F.col("_l"), "subsection"), "route_key": F.trim(field(F.col("_l"), "route_code")), "route_type": F.when(field(F.col("_l"), "route_type").rlike("^[0-9A-Z]$"), field(F.col("_l"), "route_type")),
+        "runway": F.col("_runway"), "transition_name": F.when(F.col("_enroute"), F.col("_q")), "branch_role": F.when(F.col("_runway") != "", "RUNWAY").otherwise("ENROUTE"), "sequence": b("g1"), "fix": F.when(named, b("g2")).otherwise(""),
+        "fix_section": only(F.when(named, F.substring(b("g3"), 3, 2))), "path_terminator": only(terminator), "turn_direction": only(turn), "altitude_raw": only(raw), "altitude_value": only(F.regexp_replace(raw, "^[+-]", "").cast("double")),
+        "altitude_sign": only(F.when(raw.isNotNull(), F.regexp_extract(raw, "^([+-]?)", 1))), "altitude_upper_ft": number, "course_deg": number, "theta_deg": number, "rho_nm": number, "speed_limit": number, "recommended_navaid": text,
+        "holding_at_fix": F.lit(False), "end_of_procedure": main & named & (F.substring(b("g4"), 3, 1) == "E"), "distance_nm": F.when(~main, miles), "extension": extension,
+    }
+    return df.select("source", "ordinal", "line", "kind", *[c.alias(n) for n, c in fields.items()])
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Records of both grammars: by columns where a line has them, by shape where it hasn't."""
+    fixed = parse_records(lines)
+    rest = lines.join(fixed.select("source", "ordinal"), ["source", "ordinal"], "left_anti")
+    short = parse_short(rest)
+    return fixed.unionByName(short.select(fixed.columns))
+
+
 #: The merge key has the airport too, so that files of several airports don't mix.
 LEG_KEY = ["source", "airport", "route_key", "runway", "transition_name", "sequence"]
 LAST_KNOWN = ["subsection", "route_type", "branch_role", "fix_section", "path_terminator", "turn_direction", "altitude_raw", "altitude_value", "altitude_sign", "altitude_upper_ft", "course_deg", "theta_deg", "rho_nm", "speed_limit", "recommended_navaid", "distance_nm"]
@@ -120,7 +187,7 @@ def procedure_name(route_key: Column, names: dict[str, str] | None = None) -> Co
 
 def read_legs(text: DataFrame, text_col: str = "text", id_col: str | None = None, names: dict[str, str] | None = None) -> DataFrame:
     """Legs of whole texts, with the procedure's name and type."""
-    legs = merge_continuations(parse_records(read_lines(text, text_col, id_col)))
+    legs = merge_continuations(parse_lines(read_lines(text, text_col, id_col)))
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("D", "SID", "E", "STAR", "F", "APPROACH")]), F.col("subsection"))
     return legs.withColumn("procedure_name", procedure_name(F.col("route_key"), names)).withColumn("procedure_type", kind)
 

@@ -40,7 +40,7 @@ def test_candidates_of_charts_and_support_pages(spark):
     df = spark.createDataFrame([(1, text)], "i int, t string")
     got = lambda support: {(r["kind"], r["value"]) for r in df.select(F.explode(tx.typed_candidates(F.col("t"), F.lit(support))).alias("c")).select("c.*").collect()}
     assert got(False) == {("procedure_name", "ADLOV 1E"), ("runway", "RWY 16L"), ("distance", "16 NM"), ("distance", "25 NM"), ("course", "160°"), ("altitude", "+3000 FT"), ("speed", "210 KIAS"), ("navigation_spec", "RNAV 1"), ("holding", "TURN LEFT"), ("msa", "MSA 25 NM"), ("frequency", "TWR 118.1"), ("equipment_requirement", "ILS")}
-    assert got(True) == {("frequency", "TWR 118.1"), ("equipment_requirement", "ILS"), ("equipment_requirement", "ILS REQUIRED ATWR"), ("note", "TORA 3800 R-160/330"), ("waypoint", "013812.5N 0103401.5E")}
+    assert got(True) == {("frequency", "TWR 118.1"), ("equipment_requirement", "ILS"), ("equipment_requirement", "ILS REQUIRED ATWR"), ("note", "TORA 3800 R-160/330"), ("note", "160° +3000 FT 210 KIAS RNAV 1 TURN LEFT"), ("waypoint", "013812.5N 0103401.5E")}
 
 
 def test_procedure_names(spark):
@@ -94,3 +94,16 @@ def test_altitudes(spark):
 
 def test_json_within_text(spark):
     assert each(spark, records.json_object, ['{"a":1}', 'so: {"a": 2} .', "none", None]) == ['{"a":1}', '{"a": 2}', None, None]
+
+
+def test_radials_and_courses_of_support_pages(spark):
+    df = spark.createDataFrame([("Via R-155/335° VJB then 160° inbound", True), ("Course 160° and 12 NM", False), (None, True)], "t string, support boolean")
+    got = [[(c.kind, c.value) for c in r.c] for r in df.select(tx.typed_candidates(F.coalesce("t", F.lit("")), F.col("support")).alias("c")).collect()]
+    assert got == [[("note", "R-155/335° VJB THEN 160° INBOUND")], [("course", "160°"), ("distance", "12 NM")], []]
+
+
+def test_boundaries_look_back_only_where_nothing_else_can_stand(spark):
+    words = ["AB12", "xAB12", "AB12x", "_AB12", "éAB12", "AB12é", "-AB12-", "AB123"]
+    plain = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    df = spark.createDataFrame([(w,) for w in words], "w string").select(F.col("w").rlike(tx.ascii_bounds(r"\b[A-Z]{2}\d{2}\b")).alias("a"), F.col("w").rlike(rf"{plain}[A-Z]{{2}}\d{{2}}{plain}").alias("b"))
+    assert all(r.a == r.b for r in df.collect())

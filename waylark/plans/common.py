@@ -50,13 +50,13 @@ def sql_pick(values: Sequence[str], number: str) -> str:
 
 
 def aip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_no, file_no, text): a page for each document."""
+    """(page_no, file_no, text): a page for each document, some lines of a publication and then its whole text."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
-    return d.select(n.alias("page_no"), F.floor(n / 40).cast("long").alias("file_no"), F.concat(F.lit("AIP PAGE "), n.cast("string"), F.lit("\n  "), pick(PHRASES, n), F.lit("\n"), F.upper("lang"), F.lit(" 2 JAN 2025\n"), F.col("source")).alias("text"))
+    return d.select(n.alias("page_no"), F.floor(n / 40).cast("long").alias("file_no"), F.concat(F.lit("AIP PAGE "), n.cast("string"), F.lit("\n  "), pick(PHRASES, n), F.lit("\n"), F.upper("lang"), F.lit(" 2 JAN 2025\n"), F.col("source"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
 
 
-AIP_PAGES = f"SELECT doc_id AS page_no, CAST(doc_id // 40 AS BIGINT) AS file_no, 'AIP PAGE ' || doc_id || chr(10) || '  ' || {sql_pick(PHRASES, 'doc_id')} || chr(10) || upper(lang) || ' 2 JAN 2025' || chr(10) || source AS text FROM documents"
+AIP_PAGES = f"SELECT doc_id AS page_no, CAST(doc_id // 40 AS BIGINT) AS file_no, 'AIP PAGE ' || doc_id || chr(10) || '  ' || {sql_pick(PHRASES, 'doc_id')} || chr(10) || upper(lang) || ' 2 JAN 2025' || chr(10) || source || chr(10) || coalesce(text, '') AS text FROM documents"
 
 
 def sql_rules(text: str, rules, otherwise: str) -> str:

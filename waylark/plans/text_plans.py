@@ -217,13 +217,13 @@ def html_support_fields(spark, sf_dir):
 @query("group_keys", f"""
 WITH p AS ({AIP_PAGES}), {_CLASSIFIED},
 n AS (SELECT page_no, category, navigation, coalesce(runway, 'RWY_UNKNOWN') AS rw, CASE category WHEN 'ARRIVAL' THEN 'STAR' WHEN 'DEPARTURE' THEN 'SID' WHEN 'APPROACH' THEN 'APPROACH' WHEN 'AERODROME' THEN 'AERODROME' ELSE 'OTHER' END AS package,
-  list_distinct(regexp_extract_all(up, '[A-Z]{{5}} ?[0-9][A-Z]')) AS names, split_part(up, ' - ', 1) AS chart FROM c)
+  list_distinct(regexp_extract_all(up, '[A-Z]{{5}} ?[0-9][A-Z]')) AS names, trim(left(split_part(up, ' - ', 1), 40)) AS chart FROM c)
 SELECT page_no, CASE WHEN package = 'APPROACH' THEN 'APPROACH::' || navigation || '::' || rw || '::' || coalesce(replace(names[1], ' ', ''), chart)
   ELSE category || '::' || package || '::' || navigation || '::' || rw || '::' || CASE WHEN len(names) > 0 THEN array_to_string(list_sort(list_transform(names, lambda n: replace(n, ' ', ''))), '|') ELSE chart END END AS group_key FROM n""")
 def group_keys(spark, sf_dir):
     c = classified(spark, sf_dir)
     names = tx.matches(F.col("up"), "[A-Z]{5} ?[0-9][A-Z]")
-    key = tx.group_key(F.col("category"), tx.package_type(F.col("category")), F.col("navigation"), F.col("runway"), names, F.substring_index("up", " - ", 1))
+    key = tx.group_key(F.col("category"), tx.package_type(F.col("category")), F.col("navigation"), F.col("runway"), names, F.substring(F.substring_index("up", " - ", 1), 1, 40))  # the page's beginning stands for a chart's name
     return c.select("page_no", key.alias("group_key"))
 
 

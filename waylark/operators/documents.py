@@ -54,7 +54,7 @@ def _typed(v: Column, rule: Rule, path: str) -> Column:
     at = F.try_variant_get(v, path, "variant")
     kind = F.schema_of_variant(at)
     text = F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
-    number = F.when(~kind.isin("BOOLEAN", "VOID") & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT"), F.try_variant_get(v, path, "string")).try_cast("double")
+    number = F.when(~kind.rlike("^(BOOLEAN|VOID|ARRAY|OBJECT)"), F.try_variant_get(v, path, "string")).try_cast("double")
     if rule.kind == "text":
         return text
     if rule.kind == "number":
@@ -71,18 +71,25 @@ def _typed(v: Column, rule: Rule, path: str) -> Column:
     return F.when(text.rlike(f"^(?:{rule.kind})$"), text)
 
 
-def typed(v: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
-    """(struct of the fields, array of repairs) of a VARIANT: a repair names a field that stands under its first path but couldn't be used as it is, or was taken from another path or the default."""
-    fields, repairs = [], []
-    for r in rules:
-        values = [_typed(v, r, p) for p in r.paths]
-        kind = TYPES.get(r.kind, "string")
-        default = F.lit(r.otherwise).cast(kind) if not isinstance(r.otherwise, (list, tuple)) else F.array(*map(F.lit, r.otherwise)).cast(kind)
-        fields.append(F.coalesce(*values, default).alias(r.name))
-        present = F.try_variant_get(v, r.paths[0], "variant").isNotNull() & (F.schema_of_variant(F.try_variant_get(v, r.paths[0], "variant")) != "VOID")
-        other = reduce(lambda a, b: a | b, (x.isNotNull() for x in values[1:]), F.lit(False))
-        repairs.append(F.when(values[0].isNull(), F.when(present, F.lit(f"{r.name}: unusable")).when(other, F.lit(f"{r.name}: from another field"))))
-    return F.struct(*fields), F.array_compact(F.array(*repairs))
+def typed(v: Column, rules: Sequence[Rule]) -> Column:
+    """struct(x: the fields, r: array of repairs) of a VARIANT: a repair names a field that stands under its first path but couldn't be used as it is, or was taken from another path. Each path is looked up once."""
+
+    def seen(r: Rule) -> Column:
+        first = F.schema_of_variant(F.try_variant_get(v, r.paths[0], "variant"))
+        return F.struct(*[_typed(v, r, p).alias(f"v{i}") for i, p in enumerate(r.paths)], F.coalesce(first != "VOID", F.lit(False)).alias("there")).alias(r.name)
+
+    def settled(s: Column) -> Column:
+        fields, repairs = [], []
+        for r in rules:
+            values = [s[r.name][f"v{i}"] for i in range(len(r.paths))]
+            kind = TYPES.get(r.kind, "string")
+            default = F.array(*map(F.lit, r.otherwise)).cast(kind) if isinstance(r.otherwise, tuple) else F.lit(r.otherwise).cast(kind)
+            fields.append(F.coalesce(*values, default).alias(r.name))
+            other = reduce(lambda a, b: a | b, (x.isNotNull() for x in values[1:]), F.lit(False))
+            repairs.append(F.when(values[0].isNull(), F.when(s[r.name]["there"], F.lit(f"{r.name}: unusable")).when(other, F.lit(f"{r.name}: from another field"))))
+        return F.struct(F.struct(*fields).alias("x"), F.array_compact(F.array(*repairs)).alias("r"))
+
+    return F.get(F.transform(F.array(F.struct(*[seen(r) for r in rules])), settled), F.lit(0))
 
 
 def _of(*paths: str) -> tuple[str, ...]:
@@ -112,11 +119,7 @@ ARRAYS = {"tableLegs": ("table_legs", TABLE_LEG), "procedures": ("procedures", P
 
 
 def _entry(rules: Sequence[Rule]) -> Callable[[Column], Column]:
-    def both(x: Column) -> Column:
-        fields, repairs = typed(x, rules)
-        return F.struct(fields.alias("x"), repairs.alias("r"))
-
-    return both
+    return lambda x: typed(x, rules)
 
 
 def _placed(name: str) -> Callable[[Column, Column], Column]:
@@ -157,8 +160,7 @@ def normalized(docs: DataFrame, keys: Sequence[str], doc: str) -> DataFrame:
     v = F.col("_v")
     df = docs.select(*keys, F.try_parse_json(F.col(doc)).alias("_v"))
     df = df.withColumn("readable", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
-    head, repairs = typed(v, HEAD)
-    df = df.withColumn("_head", head).withColumn("_repairs", repairs)
+    df = df.withColumn("_h", typed(v, HEAD)).withColumn("_head", F.col("_h.x")).withColumn("_repairs", F.col("_h.r"))
     told = ["_repairs"]
     for source, (name, rules) in ARRAYS.items():
         df = df.withColumn(f"_{name}", F.coalesce(F.try_variant_get(v, f"$.{source}", "array<variant>"), F.array().cast("array<variant>")))

@@ -231,10 +231,10 @@ def merge_distinct(spark, sf_dir):
     return o.where("o_orderkey % 2 = 0").select("o_orderstatus", "o_orderpriority").union(o.where("o_orderkey % 2 = 1").select("o_orderstatus", F.upper("o_orderpriority"))).distinct()
 
 
-@query("set_except", "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
+@query("set_except", "SELECT n_nationkey FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) AND n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9980)")
 def set_except(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
-    return s.subtract(table(spark, sf_dir, "customer").where("c_acctbal > 9500").select("c_nationkey"))
+    return s.subtract(table(spark, sf_dir, "customer").where("c_acctbal > 9980").select("c_nationkey"))
 
 
 @query("support_leak", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")

@@ -126,7 +126,30 @@ def distance_rules(spark, sf_dir):
     return j.select("branch", "seq", verdict.alias("verdict"))
 
 
-@query("align_sequences")
+#: Alignment by a table for each branch, row by row, and the way back through it.
+_ALIGNED = f"""
+WITH RECURSIVE {LEFT}, {RIGHT},
+al AS (SELECT branch, list(struct_pack(f := upper(trim(fix)), pt := path_terminator, s := lpad(seq::VARCHAR, 3, '0')) ORDER BY seq) AS a FROM l GROUP BY branch),
+bl AS (SELECT branch, list(struct_pack(f := upper(trim(fix)), pt := path_terminator, s := lpad((seq * 2)::VARCHAR, 3, '0')) ORDER BY seq) AS b FROM r GROUP BY branch),
+br AS MATERIALIZED (SELECT coalesce(al.branch, bl.branch) AS branch, coalesce(a, []) AS a, coalesce(b, []) AS b FROM al FULL JOIN bl ON al.branch = bl.branch),
+cell AS (SELECT branch, x, y, CASE WHEN a[x].f = b[y].f THEN 4 ELSE -3 END + CASE WHEN a[x].pt = b[y].pt THEN 2 ELSE -1 END + CASE WHEN a[x].s = b[y].s THEN 1 ELSE 0 END AS w
+  FROM (SELECT branch, a, b, unnest(range(1, len(a) + 1)) AS x FROM br), LATERAL (SELECT unnest(range(1, len(b) + 1)) AS y)),
+weights AS MATERIALIZED (SELECT branch, x, list(w ORDER BY y) AS w FROM cell GROUP BY branch, x),
+nw AS (
+  SELECT branch, 0::BIGINT AS x, [list_transform(range(0, len(b) + 1), lambda j: CAST(-2 * j AS BIGINT))] AS rows FROM br
+  UNION ALL SELECT nw.branch, nw.x + 1, list_append(nw.rows, list_reduce(list_transform(range(1, len(br.b) + 1), lambda j: [j]), lambda acc, j: list_append(acc, greatest(nw.rows[-1][j[1]] + weights.w[j[1]], nw.rows[-1][j[1] + 1] - 2, acc[-1] - 2)), [CAST(-2 * (nw.x + 1) AS BIGINT)]))
+  FROM nw JOIN br ON br.branch = nw.branch AND nw.x < len(br.a) LEFT JOIN weights ON weights.branch = nw.branch AND weights.x = nw.x + 1),
+tables AS MATERIALIZED (SELECT nw.branch, rows FROM nw JOIN br ON br.branch = nw.branch AND nw.x = len(br.a)),
+way AS (
+  SELECT branch, len(a) AS i, len(b) AS j, 0 AS back, NULL::BIGINT AS x, NULL::BIGINT AS y FROM br
+  UNION ALL SELECT w.branch, CASE WHEN move < 2 THEN i - 1 ELSE i END, CASE WHEN move <> 1 THEN j - 1 ELSE j END, back + 1, CASE WHEN move < 2 THEN i END, CASE WHEN move <> 1 THEN j END
+  FROM (SELECT way.branch, i, j, back, CASE WHEN i > 0 AND j > 0 AND t.rows[i + 1][j + 1] = t.rows[i][j] + q.w[j] THEN 0 WHEN i > 0 AND t.rows[i + 1][j + 1] = t.rows[i][j + 1] - 2 THEN 1 ELSE 2 END AS move
+    FROM way JOIN tables t ON t.branch = way.branch LEFT JOIN weights q ON q.branch = way.branch AND q.x = way.i WHERE i > 0 OR j > 0) w)
+SELECT way.branch, CAST(row_number() OVER (PARTITION BY way.branch ORDER BY back DESC) AS INT) AS position, a[way.x].s AS left_sequence, b[way.y].s AS right_sequence FROM way JOIN br ON br.branch = way.branch WHERE back > 0
+"""
+
+
+@query("align_sequences", _ALIGNED)
 def align_sequences(spark, sf_dir):
     """Legs of both sources aligned by order and meaning, where sequence numbers differ."""
     l = left_legs(spark, sf_dir).withColumn("sequence", F.lpad(F.col("seq").cast("string"), 3, "0"))

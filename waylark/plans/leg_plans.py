@@ -157,7 +157,17 @@ def align_sequences(spark, sf_dir):
     return align.align_sequences(l, r, ["branch"])
 
 
-@query("greedy_pairing")
+@query("greedy_pairing", """
+WITH RECURSIVE l AS (SELECT c_nationkey AS nation, substr(c_name, 14, 5) AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS x FROM customer),
+r AS (SELECT s_nationkey AS nation, substr(s_name, 14, 4) AS name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS y FROM supplier),
+w AS MATERIALIZED (SELECT r.nation, y, list(x ORDER BY x) AS xs FROM r JOIN l ON l.nation = r.nation AND (starts_with(l.name, r.name) OR starts_with(r.name, l.name)) GROUP BY r.nation, y),
+n AS MATERIALIZED (SELECT nation, count(*) AS n FROM r GROUP BY nation),
+t AS (SELECT nation, 0::BIGINT AS y, CAST([] AS BIGINT[]) AS used FROM n
+  UNION ALL SELECT t.nation, t.y + 1, list_append(t.used, coalesce(list_filter(w.xs, lambda x: NOT list_contains(t.used, x))[1], 0)) FROM t JOIN n ON n.nation = t.nation AND t.y < n.n LEFT JOIN w ON w.nation = t.nation AND w.y = t.y + 1),
+d AS MATERIALIZED (SELECT t.* FROM t JOIN n ON n.nation = t.nation AND t.y = n.n),
+p AS MATERIALIZED (SELECT r.nation, r.name, d.used[r.y] AS x FROM r JOIN d ON d.nation = r.nation)
+SELECT p.nation, CASE WHEN p.x > 0 THEN 'MATCHED' ELSE 'MISSING' END AS status, l.name AS left_name, p.name AS right_name FROM p LEFT JOIN l ON l.nation = p.nation AND l.x = p.x
+UNION ALL SELECT l.nation, 'EXTRA', l.name, NULL FROM l WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.nation = l.nation AND p.x = l.x)""")
 def greedy_pairing(spark, sf_dir):
     """Names of one nation's customers and suppliers paired in order, where one begins with the other."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.substring("c_name", 14, 5).alias("name"), F.col("c_custkey").alias("n"))

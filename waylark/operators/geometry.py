@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,37 +65,35 @@ def kind_counts(rows: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
     return rows.groupBy(*keys).agg(of("Point", "MultiPoint").alias("points"), of("LineString", "MultiLineString").alias("lines"), of("Polygon", "MultiPolygon").alias("polygons"), F.count_if(F.col(kind).isNull()).alias("without"), F.count_if(F.col(kind).isin(KINDS)).alias("renderable"))
 
 
-def _ahead(lon: float, lat: float, course: float, nm: float) -> tuple[float, float]:
-    a, t, d = math.radians(lat), math.radians(course), nm / geo.EARTH_NM
-    lat2 = math.asin(math.sin(a) * math.cos(d) + math.cos(a) * math.sin(d) * math.cos(t))
-    lon2 = math.radians(lon) + math.atan2(math.sin(t) * math.sin(d) * math.cos(a), math.cos(d) - math.sin(a) * math.sin(lat2))
-    return math.degrees(lon2), math.degrees(lat2)
-
-
-def fold_legs(legs: DataFrame, key: str, key_type: str) -> DataFrame:
+def fold_legs(legs: DataFrame, key: str) -> DataFrame:
     """(key, sequence, status, from_lon, from_lat, to_lon, to_lat): each leg from where the one before ended.
 
     ``legs`` has key, sequence, path_terminator, lon and lat of its fix or nulls, course
-    and nm. A leg with a fix ends there (EXACT); one with course and distance ends
-    where they lead, EXACT_START if its start is exact, else DERIVED; others, and
-    those before any place is known, are OPEN and leave the state as it is. What a leg
-    does depends on all before it, so a procedure, of few legs, is folded in one go.
+    and nm; NaN counts as null. A leg with a fix ends there (EXACT); one with course and
+    distance ends where they lead, EXACT_START if its start is exact, else DERIVED; others,
+    and those before any place is known, are OPEN and leave the state as it is. What a leg
+    does depends on all before it, so a procedure, of few legs, is folded in its row.
     """
-
-    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, exact, rows = None, False, []
-        for leg in pdf.sort_values("sequence", kind="stable").itertuples():
-            to, status = None, "OPEN"
-            if pd.notna(leg.lon) and pd.notna(leg.lat):
-                to, status = (leg.lon, leg.lat), "EXACT"
-            elif at is not None and pd.notna(leg.course) and pd.notna(leg.nm):
-                to, status = _ahead(*at, leg.course, leg.nm), "EXACT_START" if exact else "DERIVED"
-            rows.append((k[0], leg.sequence, status, *(at or (None, None)), *(to or (None, None))))
-            if to is not None:
-                at, exact = to, status == "EXACT"
-        return pd.DataFrame(rows, columns=[key, "sequence", "status", "from_lon", "from_lat", "to_lon", "to_lat"])
-
-    return legs.groupBy(key).applyInPandas(run, f"{key} {key_type}, sequence long, status string, from_lon double, from_lat double, to_lon double, to_lat double")
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    lon, lat = known("lon"), known("lat")
+    leg = F.struct("sequence", F.when(lon.isNotNull() & lat.isNotNull(), F.struct(lon.alias("lon"), lat.alias("lat"))).alias("fix"), known("course").alias("course"), known("nm").alias("nm"))
+    place, kind = "struct<lon: double, lat: double>", {f.name: f.dataType.simpleString() for f in legs.schema}["sequence"]
+    line = f"array<struct<sequence: {kind}, status: string, start: {place}, end: {place}>>"
+    state = F.struct(F.lit(None).cast(place).alias("at"), F.lit(False).alias("exact"), F.array().cast(line).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        led = F.when(a["at"].isNotNull() & x["course"].isNotNull() & x["nm"].isNotNull(), geo.destination(a["at"]["lon"], a["at"]["lat"], x["course"], x["nm"]))
+
+        def ended(to: Column) -> Column:
+            status = F.when(x["fix"].isNotNull(), "EXACT").when(to.isNotNull() & a["exact"], "EXACT_START").when(to.isNotNull(), "DERIVED").otherwise("OPEN")
+            out = F.concat(a["out"], F.array(F.struct(x["sequence"].alias("sequence"), status.alias("status"), a["at"].alias("start"), to.alias("end"))))
+            return F.struct(F.coalesce(to, a["at"]).alias("at"), F.when(to.isNotNull(), x["fix"].isNotNull()).otherwise(a["exact"]).alias("exact"), out.alias("out"))
+
+        return F.get(F.transform(F.array(F.coalesce(x["fix"], led)), ended), F.lit(0))
+
+    whole = legs.groupBy(key).agg(F.array_sort(F.collect_list(leg)).alias("l"))
+    rows = whole.select(key, F.explode(F.aggregate("l", state, step)["out"]).alias("x"))
+    return rows.select(key, "x.sequence", "x.status", F.col("x.start.lon").alias("from_lon"), F.col("x.start.lat").alias("from_lat"), F.col("x.end.lon").alias("to_lon"), F.col("x.end.lat").alias("to_lat"))
 
 
 def _radial_fix(deg: Column, nm: Column) -> Column:

@@ -185,12 +185,21 @@ def geometry_stats(spark, sf_dir):
     return geometry.kind_counts(f, ["grp"], "kind")
 
 
-@query("leg_geometry_fold")
+_FX, _FY = _sql_destination("x", "y", "course", "nm")
+
+
+@query("leg_geometry_fold", f"""
+WITH RECURSIVE {POINTS}, l AS MATERIALIZED (SELECT c_nationkey AS procedure, id, row_number() OVER (PARTITION BY c_nationkey ORDER BY id) AS i, CASE WHEN id % 3 <> 1 THEN lon END AS lon, CASE WHEN id % 3 <> 1 THEN lat END AS lat, course, nm FROM p JOIN customer ON id = c_custkey),
+f AS (
+  SELECT procedure, 0::BIGINT AS i, NULL::BIGINT AS id, '' AS status, NULL::DOUBLE AS fx, NULL::DOUBLE AS fy, NULL::DOUBLE AS tx, NULL::DOUBLE AS ty, NULL::DOUBLE AS x, NULL::DOUBLE AS y, false AS exact FROM (SELECT DISTINCT procedure FROM l)
+  UNION ALL SELECT procedure, i, id, CASE WHEN lon IS NOT NULL THEN 'EXACT' WHEN tx IS NULL THEN 'OPEN' WHEN exact THEN 'EXACT_START' ELSE 'DERIVED' END, x, y, tx, ty, coalesce(tx, x), coalesce(ty, y), CASE WHEN tx IS NULL THEN exact ELSE lon IS NOT NULL END
+  FROM (SELECT *, coalesce(lon, {_FX}) AS tx, coalesce(lat, {_FY}) AS ty FROM (SELECT l.*, f.x, f.y, f.exact FROM f JOIN l ON l.procedure = f.procedure AND l.i = f.i + 1)))
+SELECT procedure, id AS sequence, status, {sql_round('fx', 4)} AS from_lon, {sql_round('fy', 4)} AS from_lat, {sql_round('tx', 4)} AS to_lon, {sql_round('ty', 4)} AS to_lat FROM f WHERE i > 0""")
 def leg_geometry_fold(spark, sf_dir):
     """Lines of legs that begin where the leg before ended, by a fold over each procedure."""
     p = points(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("procedure")), "id")
     legs = p.select("procedure", F.col("id").alias("sequence"), F.when(F.col("id") % 3 == 0, "TF").when(F.col("id") % 3 == 1, "CA").otherwise("CF").alias("path_terminator"), F.when(F.col("id") % 3 != 1, F.col("lon")).alias("lon"), F.when(F.col("id") % 3 != 1, F.col("lat")).alias("lat"), "course", "nm")
-    return geometry.fold_legs(legs, "procedure", "int").select("procedure", "sequence", "status", *[round_half_up(F.col(c), 4).alias(c) for c in ("from_lon", "from_lat", "to_lon", "to_lat")])
+    return geometry.fold_legs(legs, "procedure").select("procedure", "sequence", "status", *[round_half_up(F.col(c), 4).alias(c) for c in ("from_lon", "from_lat", "to_lon", "to_lat")])
 
 
 # ---------------------------------------------------------------- nested records

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     cursor = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in cursor.description]
@@ -21,10 +21,10 @@ def test_same_rows_as_sql(spark, name):
     assert sorted(str(tuple(r[c] for c in sorted(columns))) for r in df.collect()) == sorted(str(tuple(r[columns.index(c)] for c in sorted(columns))) for r in cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_source_divergence"}))  # which has rows of groups
 def test_a_row_for_each_document(spark, name):
     df = queries.QUERIES[name](spark, DATA)
-    table, key = {"op3": ("pages", "page_id"), "op5": ("embeddings", "media_id"), "op10": ("conversations", "turn")}.get(name.split("_")[0], ("documents", "doc_id"))
+    table, key = {"op3": ("pages", "page_id"), "op5": ("embeddings", "media_id"), "op10": ("conversations", "turn"), "op13": ("embeddings", "vec_id")}.get(name.split("_")[0], ("documents", "doc_id"))
     n = spark.read.parquet(f"{DATA}/{table}.parquet").count()
     assert df.select(key).distinct().count() == n if name.startswith("op7") else df.count() == n or name.startswith("op10")
 

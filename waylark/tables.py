@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a session on this machine alone gets a folder here; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir is unset")
         found = f"file://{tempfile.mkdtemp(prefix='waylark-')}"
         spark.conf.set("spark.checkpoint.dir", found)

@@ -138,6 +138,52 @@ def test_near_classes_as_by_brute_force(spark, corpus, block, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def around_a_passage(rng, n):
+    """Texts with a long passage and words of their own: with few of these they are near each other, with many they aren't; some have a twin."""
+    passage = prose(rng, 120, 5000)
+    rows = []
+    while len(rows) < n:
+        text = f"{passage} {prose(rng, rng.choice([3, 20, 35, 45, 45, 60, 60, 60]), 50000)}"
+        rows.append((len(rows) * 7 % n, text))
+        if rng.random() < 0.3 and len(rows) < n:
+            rows.append((len(rows) * 7 % n, f"twin {text}"))
+    return rows
+
+
+def test_large_groups_meet_in_rows_that_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    made = []
+    dealt = common.map_groups
+
+    def counted(df, *a, **b):
+        if "block" in df.columns:
+            made.append(df.count())
+        return dealt(df, *a, **b)
+
+    monkeypatch.setattr(common, "map_groups", counted)
+    rows = around_a_passage(random.Random(21), 500)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(frame(spark, rows).repartition(3)).collect()}
+    assert got == brute_classes(rows)
+    assert len(set(got.values())) > 100 and sum(made) < 8 * len(rows)
+
+
+def test_texts_that_can_have_links_stay_when_a_component_is_thinned_out(spark, monkeypatch):
+    rng = random.Random(22)
+    rows = around_a_passage(rng, 150)
+    base = prose(rng, 100, 5000).split()
+    for i in range(150, 300):  # copies of one text, of copies too
+        w = list(base if i < 170 or rng.random() < 0.5 else rows[rng.randrange(170, i)][1].split() if i > 171 else base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"c{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(400, rows[5][1].upper()), (401, rows[5][1])]
+    expected = brute_classes(rows)
+    for block in (4, 40):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_groups(frame(spark, rows).repartition(4)).collect()}
+        assert got == expected
+
+
 def test_a_task_sends_a_spanning_star(spark):
     import pandas as pd
 

@@ -20,16 +20,24 @@ of any size whole without making their pairs:
    holds a row for each map task at most, whatever its size.
 2. Components of tasks that share a key are contracted to the least of them, and
    what is left is joined by rounds of contraction.
-3. A component's texts meet in blocks of ``BLOCK``, each with the component's
-   least id, its head. Within a block, exact weighted Jaccard joins texts to
-   clusters: a text is held against the pivot of each cluster, and against a
-   cluster's other members unless the triangle inequality of the Jaccard distance
-   rules them out. So a block's clusters are the connected components of all its
-   links, and what is linked to the head is linked across blocks.
-4. Texts that their block doesn't link to the head meet every other block of the
-   component, ``BLOCK`` of them at a time, in the same way. Among near copies
-   these are few; where they are many, the work is that of all pairs of blocks,
-   which no shorter exact way is known to avoid, but no task grows.
+3. A component of more than ``BLOCK`` texts is thinned out first. Cells that more
+   than ``RARE`` of its texts have are common. Two texts have no more cells in
+   common than the lesser of their numbers of common cells, and the rarer cells
+   that they share. Pairs that share rarer cells are listed, at most ``RARE`` - 1
+   for a cell, and meet where this bound allows a link. Texts that no size and
+   number of common cells in their component allow a link without shared rarer
+   cells go no further: so those around a passage, a line or a base text that many
+   have, whose own words make up too much of them.
+4. What stays of a component meets in blocks of ``BLOCK``, each with some heads of
+   the component. Within a block, exact weighted Jaccard joins texts to clusters: a
+   text is held against the pivot of each cluster, and against a cluster's other
+   members unless the triangle inequality of the Jaccard distance rules them out.
+   So a block's clusters are the connected components of all its links, and what is
+   linked to a head is linked across blocks.
+5. Texts that aren't in the component's largest class by then meet every other block,
+   ``BLOCK`` of them at a time, in the same way. Of groups around a common part
+   these are few. Where they are many, of common cells all but an eighth and yet
+   unlike each other, the work is that of all pairs of blocks, but no task grows.
 """
 
 from __future__ import annotations
@@ -49,6 +57,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 18, 4
 K = BANDS * ROWS
 BLOCK = 128
+#: Cells of a large component that more of its texts have are common ones; pairs of texts are listed for the others.
+RARE = 4
+#: Cells that a map task gathers before it sends them on, and texts whose cells a bucket of cells has a share of.
+GATHERED, BUCKET_TEXTS = 1_000_000, 4000
 #: Rows of one component are dealt over so many partitions where they meet its totals.
 SALTS = 64
 #: Keys that a map task remembers before it starts afresh.
@@ -382,29 +394,108 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _in_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block's texts to the least id of their group, of itself too, the head left out (kind 1), the head's link to its group (kind 3), and for components of several blocks the ids that the head doesn't reach here (kind 2)."""
+    """Links of a block's texts to the least id of their group, of itself too, heads left out (kind 1), and of the group to the heads in it (kind 3)."""
     out = []
     pdf = pdf.sort_values(["block", "head", "id"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
     sets = _text_sets(pdf["text"])
-    ids, comps, wide, heads = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["wide"].to_numpy(), pdf["head"].to_numpy()
+    ids, heads = pdf["id"].to_numpy(), pdf["head"].to_numpy()
     for a, b in _runs(pdf["block"].to_numpy()):
         _, group = cluster(sets[a:b])
         found: dict[int, list[int]] = {}
         for i, g in enumerate(group):
             found.setdefault(g, []).append(a + i)
-        for g, rows in found.items():
-            led = any(heads[i] for i in rows)
+        for rows in found.values():
+            led = sorted({int(ids[i]) for i in rows if heads[i]})
             others = [int(ids[i]) for i in rows if not heads[i]]
-            if others:
-                least = min(others)
-                out += [(1, i, least) for i in others]
-                if led:
-                    out.append((3, least, comps[a]))
-                elif wide[a]:
-                    out += [(2, i, comps[a]) for i in others]
+            least = min(others or led)
+            out += [(1, i, least) for i in others]
+            out += [(3, least, h) for h in led if h != least]
     return pd.DataFrame(out, columns=["kind", "a", "b"])
 
 
+def _gathered(buckets: int):
+    """From (id, comp, text): (kind 0) text, id, component and number of cells of each text; (kind 1) by bucket of cells, which text has which cell, as bytes. A text is named by a hash of its id and cells."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.release()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sent() -> pd.DataFrame:
+            cells, texts = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (mix(cells) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            pairs = np.stack([cells[order], texts[order]], axis=1)
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            some = [(k, pairs[x:y].tobytes()) for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if x < y]
+            held.clear()
+            return pd.DataFrame([(1, k, 0, 0, 0, raw) for k, raw in some], columns=["kind", "key", "id", "comp", "n", "cells"])
+
+        for pdf in it:
+            sets = _text_sets(pdf["text"])
+            n = np.array([len(x) for x in sets], dtype=np.int64)
+            ids, comps = pdf["id"].to_numpy(dtype=np.int64), pdf["comp"].to_numpy(dtype=np.int64)
+            sums = np.array([int(mix(x).sum(dtype=np.uint64)) for x in sets], dtype=np.uint64)
+            names = mix(mix(ids.view(np.uint64) + np.uint64(5)) + sums)
+            yield pd.DataFrame({"kind": 0, "key": names.view(np.int64), "id": ids, "comp": comps, "n": n, "cells": None})
+            for x, name, comp in zip(sets, names, comps.view(np.uint64), strict=True):
+                # cells are counted in each component by itself
+                held.append((mix(x ^ mix(np.array([comp]))), np.full(len(x), name)))
+                size += len(x)
+                if size >= GATHERED:
+                    yield sent()
+                    size = 0
+        if held:
+            yield sent()
+
+    return run
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of buckets of cells: how many common cells a text has there (kind 0), and how many rarer ones two texts share there (kind 1)."""
+    out = []
+    pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
+    for a, b in _runs(pdf["key"].to_numpy()):
+        pairs = np.frombuffer(b"".join(pdf["cells"].iloc[a:b]), dtype=np.uint64).reshape(-1, 2)
+        cells, texts = pairs[:, 0], pairs[:, 1].astype(np.int64)
+        order = np.lexsort((texts, cells))
+        cells, texts = cells[order], texts[order]
+        new = np.r_[True, (cells[1:] != cells[:-1]) | (texts[1:] != texts[:-1])]  # a row that repeats counts once
+        cells, texts = cells[new], texts[new]
+        first = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        count = np.diff(np.append(first, len(cells)))
+        name, n = np.unique(texts[np.repeat(count, count) > RARE], return_counts=True)
+        out.append(pd.DataFrame({"kind": 0, "a": name, "b": 0, "n": n}))
+        met = []
+        for k in range(2, RARE + 1):
+            at = first[count == k]
+            met += [np.stack([texts[at + i], texts[at + j]], axis=1) for i in range(k) for j in range(i + 1, k)]
+        if met:
+            both, n = np.unique(np.concatenate(met), axis=0, return_counts=True)
+            out.append(pd.DataFrame({"kind": 1, "a": both[:, 0], "b": both[:, 1], "n": n}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _thinned(texts: DataFrame, wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the texts of large components ``wide`` (id, comp): those that may have links without sharing rarer cells (id, comp, n, common), and the pairs (a, b) of ids that share such cells and may be linked."""
+    sized = common.written(texts.join(wide.hint("merge"), "id").select("id", "comp", "text").mapInPandas(_gathered(max(16, -(-wide.count() // BUCKET_TEXTS))), "kind int, key long, id long, comp long, n long, cells binary"), "cells")
+    shared = common.written(common.map_groups(sized.where("kind = 1").select("key", "cells"), "key", _shared, "kind int, a long, b long, n long", least_rows=1, heavy=True), "shared")
+    counts = shared.where("kind = 0").groupBy("a").agg(F.sum("n").alias("common")).withColumnRenamed("a", "key")
+    # the sizes that a partner without shared rarer cells can have end at reach, as 0.8 of both sizes less their common cells is asked for
+    most = (1 + SIMILARITY) / SIMILARITY
+    sized = sized.where("kind = 0").select("key", "id", "comp", "n").distinct().join(counts, "key", "left").withColumn("common", F.coalesce("common", F.lit(0)))
+    sized = common.written(sized.withColumn("reach", most * F.col("common") - F.col("n") + 1e-6), "sized")
+    # sizes by steps of a twentieth: the least size and the farthest reach of each are bounds
+    steps = sized.groupBy("comp", F.floor(F.log(F.col("n") + 1.0) * 20).alias("step")).agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    steps = steps.groupBy("comp").agg(F.collect_list(F.struct("n", "reach")).alias("steps"))
+    met = _dealt(sized, steps).where(F.exists("steps", lambda y: (y["n"] <= F.col("reach")) & (y["reach"] >= F.col("n"))))
+    stay = common.written(met.select("id", "comp", "n", "common"), "stay")
+    ends = [sized.select(F.col("key").alias(end), F.col("id").alias(f"id_{end}"), F.col("n").alias(f"n_{end}"), F.col("common").alias(f"common_{end}")) for end in ("a", "b")]
+    pairs = shared.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n")).join(ends[0], "a").join(ends[1], "b")
+    pairs = pairs.where((F.least("common_a", "common_b") + F.col("n")) * most + 1e-6 >= F.col("n_a") + F.col("n_b"))
+    return stay, pairs.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def _dealt(rows: DataFrame, totals: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` (with id and comp) joined to ``totals`` by comp. Rows of one component are dealt over SALTS partitions, so ``totals`` should hold large components only."""
     salted = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -433,35 +524,56 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # a task's component goes where its least id goes
     parts = inside.join(across.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("comp"))
     parts = common.written(parts.union(across).distinct(), "parts")
-    large = parts.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = _dealt(parts, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    here = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("nth", F.explode(F.when(F.col("id") == F.col("comp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(here)))
-    placed = placed.select("id", "comp", "nth", (F.col("blocks") > 1).alias("wide"), (F.col("id") == F.col("comp")).alias("head"), F.xxhash64("comp", "nth").alias("block"))
-    placed = common.written(placed, "placed")
-    schema = "kind int, a long, b long"
     # a filter of bounded size keeps texts without a partner from travelling
-    texts = common.likely(known, "id", placed.select("id"))
-    inner = common.written(common.map_groups(texts.join(placed.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links")
-    stars = inner.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("rep"))
-    edges = inner.where("kind = 3").select("a", "b")
-
-    apart = inner.where("kind = 2").select(F.col("a").alias("id"), F.col("b").alias("comp")).distinct()
-    if apart.limit(1).count():
-        # those that no head reached meet every block of their component, BLOCK of them at a time
+    texts = common.likely(known, "id", parts.select("id"))
+    schema = "kind int, a long, b long"
+    met = lambda rows: common.written(common.map_groups(texts.join(rows.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links")
+    alone = F.lit(False).alias("head")
+
+    large = common.written(parts.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), "large")
+    if not large.limit(1).count():
+        links = met(parts.select("id", alone, F.xxhash64("comp").alias("block")))
+        labels = links.select(F.col("a").alias("id"), F.col("b").alias("label"))
+        more = None
+    else:
+        sides = common.written(_dealt(parts, large, "left"), "sides")
+        stay, pairs = _thinned(texts, sides.where("size is not null").select("id", "comp"))
+        ids = stay.select("id", "comp").distinct()
+        # of several heads one is likely to be near most: the first, the shortest, that with the least of its own
+        by = lambda *c: F.min(F.struct(*c, F.col("id").alias("head")))["head"]
+        blocks = stay.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.array_distinct(F.array(F.min("id"), by(F.col("n").alias("n")), by((-F.col("common") / F.col("n")).alias("own")))).alias("heads"))
+        blocks = common.written(blocks, "blocks")
+        placed = _dealt(ids, blocks)
+        led = F.array_contains("heads", F.col("id")) & (F.col("blocks") > 1)
+        here = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        placed = placed.select("id", "comp", led.alias("head"), "blocks", F.explode(F.when(led, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(here)).alias("nth"))
+        placed = common.written(placed, "placed")
+        small = sides.where("size is null").select("id", alone, F.xxhash64("comp").alias("block"))
+        links = met(small.union(placed.select("id", "head", F.xxhash64("comp", "nth").alias("block"))))
+        labels = links.where("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("label"))
+        labels = labels.union(placed.where("head").select("id", F.col("id").alias("label"))).distinct()
+        led_by = components(links.where("kind = 3").select("a", "b")).withColumnRenamed("id", "label")
+        labels = common.written(labels.join(led_by, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels")
+
+        # those outside the largest class meet every block of their component, BLOCK of them at a time
+        wide = common.written(placed.where("blocks > 1").select("id", "comp", "blocks", "nth").join(labels, "id"), "wide")
+        classes = wide.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max(F.struct("n", "label"))["label"].alias("main"))
+        apart = common.written(_dealt(wide, classes).where("label <> main").select("id", "comp", "blocks").distinct(), "apart")
         chunks = apart.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-        every = _dealt(placed.where("wide").select("id", "comp", "nth"), chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "comp", "nth", "chunk")
-        counts = _dealt(apart, large.join(chunks, "comp"))
-        rest = counts.select("id", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
-        meet = every.union(rest).distinct().select("id", "comp", F.lit(False).alias("wide"), F.lit(False).alias("head"), F.xxhash64("comp", "nth", "chunk").alias("block"))
-        more = common.written(common.map_groups(texts.join(meet.hint("merge"), "id"), "block", _in_blocks, schema, weigh="text", heavy=True), "links").select("a", "b")
-        for end in ("a", "b"):  # between the groups that the ids are in
-            more = more.join(stars.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
-        edges = edges.union(more.where("a <> b"))
-    roots = components(edges).withColumnRenamed("id", "rep")
-
-    homes = placed.select("id").distinct().join(stars, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    homes = common.written(homes.join(roots, "rep", "left").select("id", F.coalesce("root", "rep").alias("label")), "homes")
+        every = _dealt(wide, chunks).select("id", "comp", "nth", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        rest = _dealt(apart, chunks).select("id", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+        meet = every.union(rest).distinct().select("id", alone, F.xxhash64("comp", "nth", "chunk").alias("block"))
+        # of listed pairs the partners of one text are a block
+        told = F.xxhash64("a", F.lit("pair")).alias("block")
+        meet = meet.union(pairs.select(F.col("b").alias("id"), alone, told)).union(pairs.select(F.col("a").alias("id"), alone, told).distinct())
+        more = met(meet).where("a <> b").select("a", "b")
+        for end in ("a", "b"):  # between the classes that the ids are in
+            more = more.join(labels.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+
+    homes = parts.select("id").distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    if more is not None:
+        homes = homes.join(components(more).withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("root", "label").alias("label"))
+    homes = common.written(homes, "homes")
     copies = equal.join(homes.withColumnRenamed("id", "lead"), "lead", "left").select("id", F.coalesce("label", "lead").alias("label"))
     told = common.written(homes.union(copies).distinct(), "told")
     # an id that repeats with several texts may have several labels: these are one class

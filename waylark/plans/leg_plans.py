@@ -240,13 +240,18 @@ def order_legs(spark, sf_dir):
     name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("ADLOV", "PIMOK", "SABKA", "OMKOM")]), (k % 4 + 1).cast("int")), F.lit(" "), (F.floor(k / 40) % 9 + 1).cast("string"), F.element_at(F.array(*[F.lit(x) for x in "ABCDEFGHJK"]), (F.floor(k / 4) % 10 + 1).cast("int")))
     n = F.row_number().over(w)
     return o.select(
-        name.alias("procedure_name"), F.concat(F.lit("RW"), F.lpad((F.floor(k / 360) % 99 + 1).cast("string"), 2, "0"), F.element_at(F.array(F.lit("L"), F.lit("R"), F.lit("C")), (F.floor(k / 35640) % 3 + 1).cast("int"))).alias("runway"), F.lit(None).cast("string").alias("transition_name"), n.alias("seq"), F.lpad(n.cast("string"), 3, "0").alias("sequence"),
+        k.alias("branch"), name.alias("procedure_name"), F.concat(F.lit("RW"), F.lpad((F.floor(k / 360) % 99 + 1).cast("string"), 2, "0"), F.element_at(F.array(F.lit("L"), F.lit("R"), F.lit("C")), (F.floor(k / 35640) % 3 + 1).cast("int"))).alias("runway"), F.lit(None).cast("string").alias("transition_name"), n.alias("seq"), F.lpad(n.cast("string"), 3, "0").alias("sequence"),
         F.concat(F.lit("F"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0")).alias("fix"), F.lit(None).cast("string").alias("fix_section"), F.element_at(F.array(*[F.lit(p) for p in PTS]), (F.col("o_orderkey") % 6 + 1).cast("int")).alias("path_terminator"),
         F.when(F.col("o_orderkey") % 3 == 0, "L").when(F.col("o_orderkey") % 3 == 1, "R").alias("turn_direction"), tol.round_half_up(F.col("o_totalprice") % 360, 1).alias("course_deg"), F.lit(None).cast("string").alias("recommended_navaid"),
         (F.col("o_orderkey") % 300 * 100 + 1000).cast("double").alias("altitude_value"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("altitude_sign"), F.lit(None).cast("double").alias("altitude_upper_ft"), F.lit(None).cast("double").alias("speed_limit"),
         F.lit(None).cast("boolean").alias("holding_at_fix"), F.lit(None).cast("boolean").alias("end_of_procedure"), tol.round_half_up(F.col("o_totalprice") % 90 + 1, 1).alias("distance_nm"))
 
 
+def written_legs(spark, sf_dir):
+    """Records of these legs; names come again after some hundred thousand customers, each of whom is a source of its own."""
+    return arinc424.write_records(order_legs(spark, sf_dir), F.lit("WMKJ"), ["seq"], source=["branch"])
+
+
 _ORDER_LEGS = f"""o AS (SELECT *, o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders),
 g AS (SELECT (ARRAY['ADLOV','PIMOK','SABKA','OMKOM'])[CAST(k % 4 + 1 AS INT)] AS base, CAST(k // 40 % 9 + 1 AS VARCHAR) || substr('ABCDEFGHJK', CAST(k // 4 % 10 + 1 AS INT), 1) AS suffix, lpad(CAST(n AS VARCHAR), 3, '0') AS sequence, 'RW' || lpad(CAST(k // 360 % 99 + 1 AS VARCHAR), 2, '0') || substr('LRC', CAST(k // 35640 % 3 + 1 AS INT), 1) AS rw, 'F' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS fix,
   (ARRAY{PTS!r})[CAST(o_orderkey % 6 + 1 AS INT)] AS pt, CASE o_orderkey % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE ' ' END AS turn, {sql_round('o_totalprice % 360', 1)} AS course, o_orderkey % 300 * 100 + 1000 AS alt, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS sign, {sql_round('o_totalprice % 90 + 1', 1)} AS dist, n, total FROM o)"""
@@ -256,8 +261,7 @@ g AS (SELECT (ARRAY['ADLOV','PIMOK','SABKA','OMKOM'])[CAST(k % 4 + 1 AS INT)] AS
 SELECT base || ' ' || suffix AS procedure_name, rw AS runway, sequence, rpad(head || '1' || CASE WHEN n = total THEN 'EE' ELSE 'E ' END || '  ' || turn || '   ' || pt || repeat(' ', 21) || CASE WHEN pt IN ('AF', 'CA', 'CF') THEN lpad(CAST(CAST(floor(course * 10 + 0.5) AS BIGINT) AS VARCHAR), 4, '0') ELSE '    ' END || repeat(' ', 8) || sign || ' ' || lpad(CAST(alt AS VARCHAR), 5, '0') || repeat(' ', 29) || CASE WHEN suffix LIKE '%G' THEN 'DG' ELSE ' D' END, 132, ' ') AS "primary",
   rpad(head || '2P' || repeat(' ', 34) || lpad(CAST(CAST(floor(dist * 10 + 0.5) AS BIGINT) AS VARCHAR), 4, '0'), 132, ' ') AS continuation FROM h""")
 def fixed_width_encode(spark, sf_dir):
-    legs = arinc424.write_records(order_legs(spark, sf_dir), F.lit("WMKJ"), ["seq"])
-    return legs.select("procedure_name", "runway", "sequence", "primary", "continuation")
+    return written_legs(spark, sf_dir).select("procedure_name", "runway", "sequence", "primary", "continuation")
 
 
 @query("fixed_width_roundtrip", f"""WITH {_ORDER_LEGS} SELECT CASE WHEN true THEN substr(base, 1, 4) || ' ' || suffix END AS procedure_name, rw AS runway, sequence, fix, pt AS path_terminator, nullif(turn, ' ') AS turn_direction, CASE WHEN pt IN ('AF', 'CA', 'CF') THEN course END AS course_deg, alt::DOUBLE AS altitude_value, sign AS altitude_sign, dist AS distance_nm, n = total AS end_of_procedure, CASE WHEN n = 1 THEN 'EA' ELSE 'PC' END AS fix_section FROM g""")

@@ -218,16 +218,17 @@ def leg_errors(airport: Column) -> Column:
     ))
 
 
-def write_records(legs: DataFrame, airport: Column, order: list[str], area: str = "SPA", subsection: str = "E", holding_fixes: list[str] = ()) -> DataFrame:
+def write_records(legs: DataFrame, airport: Column, order: list[str], area: str = "SPA", subsection: str = "E", holding_fixes: list[str] = (), source: list[str] = ()) -> DataFrame:
     """``legs`` with route_code, errors, primary and continuation: two lines for each leg without errors, nulls for the rest.
 
     ``order`` are the columns that a branch's legs follow each other by; the first
     leg's section is EA unless it has one, the others' PC, and the last leg ends the
-    procedure unless flags say which does.
+    procedure unless flags say which does. ``source`` are columns that tell branches of
+    the same names apart, such as a file's.
     """
     from pyspark.sql import Window
 
-    branch = Window.partitionBy("procedure_name", "runway", "transition_name")
+    branch = Window.partitionBy(*source, "procedure_name", "runway", "transition_name")
     by = branch.orderBy(*order)
     c = F.col
     rows = legs.withColumn("route_code", tx.route_code(c("procedure_name"))).withColumn("_n", F.row_number().over(by)).withColumn("_of", F.count(F.lit(1)).over(branch))

@@ -42,3 +42,8 @@ def same_names():
 def test_records_of_branches_with_the_same_names(spark, tmp_path):
     found, expected = held(spark, tmp_path, "fixed_width_encode", orders=same_names())
     assert found == expected and len(found) == 5
+
+
+def test_records_of_branches_with_the_same_names_are_read_apart(spark, tmp_path):
+    found, expected = held(spark, tmp_path, "fixed_width_roundtrip", orders=same_names())
+    assert found == expected and len(found) == 5

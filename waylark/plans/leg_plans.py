@@ -267,7 +267,7 @@ def fixed_width_encode(spark, sf_dir):
 @query("fixed_width_roundtrip", f"""WITH {_ORDER_LEGS} SELECT CASE WHEN true THEN substr(base, 1, 4) || ' ' || suffix END AS procedure_name, rw AS runway, sequence, fix, pt AS path_terminator, nullif(turn, ' ') AS turn_direction, CASE WHEN pt IN ('AF', 'CA', 'CF') THEN course END AS course_deg, alt::DOUBLE AS altitude_value, sign AS altitude_sign, dist AS distance_nm, n = total AS end_of_procedure, CASE WHEN n = 1 THEN 'EA' ELSE 'PC' END AS fix_section FROM g""")
 def fixed_width_roundtrip(spark, sf_dir):
     """Legs written as records and read again; the readable name has four letters of the fix."""
-    lines = fixed_width_encode(spark, sf_dir).select(F.posexplode(F.array("primary", "continuation")).alias("i", "line")).select(F.lit(0).alias("source"), F.col("i").alias("ordinal"), "line")
+    lines = written_legs(spark, sf_dir).select(F.col("branch").alias("source"), F.posexplode(F.array("primary", "continuation")).alias("ordinal", "line"))
     legs = arinc424.merge_continuations(arinc424.parse_records(lines)).withColumn("procedure_name", arinc424.procedure_name(F.col("route_key")))
     return legs.select("procedure_name", "runway", "sequence", "fix", "path_terminator", "turn_direction", "course_deg", "altitude_value", "altitude_sign", "distance_nm", "end_of_procedure", "fix_section")
 

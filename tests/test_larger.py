@@ -47,3 +47,19 @@ def test_records_of_branches_with_the_same_names(spark, tmp_path):
 def test_records_of_branches_with_the_same_names_are_read_apart(spark, tmp_path):
     found, expected = held(spark, tmp_path, "fixed_width_roundtrip", orders=same_names())
     assert found == expected and len(found) == 5
+
+
+def test_bearings_of_radials_round_as_in_sql(spark, tmp_path):
+    """Arcs have a point for each five degrees, so the last bit counts; math libraries still differ in few of them."""
+    from pyspark.sql import functions as F
+
+    from waylark.operators import features
+    from waylark.plans import feature_plans as sql
+
+    at = str(tmp_path / "radials.parquet")
+    con = duckdb.connect()
+    con.execute("create table g as select n * 10 - 118.82 as lon, n * 2 - 23.58 as lat, r::double as r, td::double as td from range(24) a(n), (select unnest(range(5, 361, 5)) as r), (select unnest([1, 6, 11, 16]) as td)")
+    con.execute(f"copy (select *, {sql._brg('lon', 'lat', 'tx', 'ty')} as b from (select *, {sql._dx('lon', 'lat', 'r', 'td')} as tx, {sql._dy('lon', 'lat', 'r', 'td')} as ty from g)) to '{at}'")
+    rows = spark.read.parquet(at).withColumn("p", F.struct("lon", "lat"))
+    apart = F.ceil(features._bearing(F.col("p"), features._ahead(F.col("p"), F.col("r"), F.col("td"))) / 5) != F.ceil(F.col("b") / 5)
+    assert rows.count() == 6912 and rows.where(apart).count() < 70

@@ -90,7 +90,11 @@ def arc_contexts(legs: DataFrame, semantics: DataFrame, refs: DataFrame, scope:
 
 
 def _ahead(p: Column, course: Column, nm: Column) -> Column:
-    return geo.destination(p["lon"], p["lat"], course, nm)
+    """``geo.destination`` with its steps in degrees, as the SQL has them: arcs between radials of whole steps get a point more or less by the last bit."""
+    a, t, d = F.radians(p["lat"]), F.radians(course), nm / geo.EARTH_NM
+    lat = F.degrees(F.asin(F.sin(a) * F.cos(d) + F.cos(a) * F.sin(d) * F.cos(t)))
+    lon = p["lon"] + F.degrees(F.atan2(F.sin(t) * F.sin(d) * F.cos(a), F.cos(d) - F.sin(a) * F.sin(F.radians(lat))))
+    return F.struct(lon.alias("lon"), lat.alias("lat"))
 
 
 def _apart(a: Column, b: Column) -> Column:

@@ -63,3 +63,20 @@ def test_bearings_of_radials_round_as_in_sql(spark, tmp_path):
     rows = spark.read.parquet(at).withColumn("p", F.struct("lon", "lat"))
     apart = F.ceil(features._bearing(F.col("p"), features._ahead(F.col("p"), F.col("r"), F.col("td"))) / 5) != F.ceil(F.col("b") / 5)
     assert rows.count() == 6912 and rows.where(apart).count() < 70
+
+
+def test_long_procedures_are_folded_in_time_that_grows_with_their_length(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from waylark.operators import geometry
+
+    n = F.col("id")
+    fix = (n % 3 != 1) & (n > 2)
+    legs = spark.range(40000, numPartitions=4).select(F.lit(1).alias("p"), n.cast("int").alias("sequence"), F.lit("TF").alias("path_terminator"), F.when(fix, n % 90 / 1.0).alias("lon"), F.when(fix, n % 70 / 1.0).alias("lat"), (n % 360).cast("double").alias("course"), F.when(n % 5 > 0, 3.0).alias("nm"))
+    began = time.time()
+    got = geometry.fold_legs(legs, "p").orderBy("sequence").collect()
+    assert time.time() - began < 25
+    assert [r["status"] for r in got[:5]] == ["OPEN"] * 3 + ["EXACT", "EXACT_START"] and [r["from_lon"] for r in got[:5]] == [None] * 4 + [3.0]
+    assert len(got) == 40000 and all(a["to_lon"] is None or (a["to_lon"], a["to_lat"]) == (b["from_lon"], b["from_lat"]) for a, b in zip(got, got[1:]))

@@ -71,8 +71,10 @@ def fold_legs(legs: DataFrame, key: str) -> DataFrame:
     ``legs`` has key, sequence, path_terminator, lon and lat of its fix or nulls, course
     and nm; NaN counts as null. A leg with a fix ends there (EXACT); one with course and
     distance ends where they lead, EXACT_START if its start is exact, else DERIVED; others,
-    and those before any place is known, are OPEN and leave the state as it is. What a leg
-    does depends on all before it, so a procedure, of few legs, is folded in its row.
+    and those before any place is known, are OPEN and leave the state as it is. As a fix
+    settles where the legs after it begin, legs are folded in runs from fix to fix, each
+    in its row; between runs only the last place is handed on. A run takes time that
+    grows with the square of its length.
     """
     known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     lon, lat = known("lon"), known("lat")
@@ -91,9 +93,12 @@ def fold_legs(legs: DataFrame, key: str) -> DataFrame:
 
         return F.get(F.transform(F.array(F.coalesce(x["fix"], led)), ended), F.lit(0))
 
-    whole = legs.groupBy(key).agg(F.array_sort(F.collect_list(leg)).alias("l"))
-    rows = whole.select(key, F.explode(F.aggregate("l", state, step)["out"]).alias("x"))
-    return rows.select(key, "x.sequence", "x.status", F.col("x.start.lon").alias("from_lon"), F.col("x.start.lat").alias("from_lat"), F.col("x.end.lon").alias("to_lon"), F.col("x.end.lat").alias("to_lat"))
+    of = Window.partitionBy(key)
+    runs = legs.select(key, leg.alias("l")).withColumn("_run", F.count("l.fix").over(of.orderBy("l").rowsBetween(Window.unboundedPreceding, 0)))
+    folded = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list("l")).alias("l")).select(key, "_run", F.aggregate("l", state, step).alias("f"))
+    rows = folded.withColumn("_before", F.lag("f.at").over(of.orderBy("_run"))).select(key, "_before", F.posexplode("f.out").alias("_i", "x"))
+    start = F.when(F.col("_i") == 0, F.col("_before")).otherwise(F.col("x.start"))
+    return rows.select(key, "x.sequence", "x.status", start["lon"].alias("from_lon"), start["lat"].alias("from_lat"), F.col("x.end.lon").alias("to_lon"), F.col("x.end.lat").alias("to_lat"))
 
 
 def _radial_fix(deg: Column, nm: Column) -> Column:

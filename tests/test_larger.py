@@ -80,3 +80,19 @@ def test_long_procedures_are_folded_in_time_that_grows_with_their_length(spark):
     assert time.time() - began < 25
     assert [r["status"] for r in got[:5]] == ["OPEN"] * 3 + ["EXACT", "EXACT_START"] and [r["from_lon"] for r in got[:5]] == [None] * 4 + [3.0]
     assert len(got) == 40000 and all(a["to_lon"] is None or (a["to_lon"], a["to_lat"]) == (b["from_lon"], b["from_lat"]) for a, b in zip(got, got[1:]))
+
+
+def test_long_routes_are_not_gathered(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from waylark.operators import graph
+
+    assert "collect_list" not in catalog.QUERIES["route_legs"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    chance = random.Random(4)
+    rows = [(r, i, chance.choice(["A", "B", "C", "", None]), chance.choice(["IF", "TF"])) for r in range(200) for i in range(chance.randrange(1, 15))]
+    legs = spark.createDataFrame(rows, "r int, i int, fix string, path_terminator string")
+    whole = legs.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("i", "fix", "path_terminator"))).alias("l"))
+    expected = whole.select("r", F.posexplode(graph.visited_once(F.col("l"))).alias("at", "x")).select("r", F.col("at") + 1, "x.i").collect()
+    assert sorted(map(tuple, graph.flown(legs, ["r"], ["i"]).select("r", "place", "i").collect())) == sorted(map(tuple, expected))

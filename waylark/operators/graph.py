@@ -58,6 +58,21 @@ def visited_once(legs: Column) -> Column:
     return F.aggregate(legs, empty, lambda kept, leg: F.when(F.size(kept) == 0, F.array(leg)).otherwise(step(kept, leg)))
 
 
+def flown(legs: DataFrame, keys: Sequence[str], order: Sequence[str], fix: str = "fix") -> DataFrame:
+    """``legs`` that ``visited_once`` keeps of each route, with place, from 1, for routes of any length.
+
+    A fix has been reached if any leg before goes there, kept or not, so an IF there goes
+    whatever else is kept; of what is left a leg goes if the one before has the same fix,
+    as that one is kept or gone for the fix of the last that is. Both are windows.
+    """
+    name = F.coalesce(F.col(fix), F.lit(""))
+    by = Window.partitionBy(*keys).orderBy(*order)
+    been = (F.row_number().over(Window.partitionBy(*keys, "_fix").orderBy(*order)) > 1) & (F.col("_fix") != "")
+    first = legs.withColumn("_fix", name).withColumn("_been", been).where(~F.coalesce(F.col("_been") & (F.col("path_terminator") == "IF"), F.lit(False)))
+    kept = first.withColumn("_last", F.lag("_fix").over(by)).where(F.col("_last").isNull() | (F.col("_fix") == "") | (F.col("_fix") != F.col("_last")))
+    return kept.withColumn("place", F.row_number().over(by)).drop("_fix", "_been", "_last")
+
+
 def topology(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """Of each graph: matched, missing (right only) and extra (left only) branches, their score, and the names, for names that pair by equality."""
     both = left.select(key, name, F.lit(1).alias("l")).join(right.select(key, name, F.lit(1).alias("r")), [key, name], "full_outer")

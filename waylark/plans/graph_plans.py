@@ -57,8 +57,8 @@ def route_legs(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     legs = b.join(c.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("seq")), "k").select("graph", "branch", "role", "seq", F.concat(F.lit("F"), (F.col("seq") % 5).cast("string")).alias("fix"), F.when(F.col("seq") % 2 == 0, "IF").otherwise("TF").alias("path_terminator"))
     parts = graph.route_legs(graph.routes(b, "graph", "branch"), legs, "graph", "branch", "seq")
-    whole = parts.groupBy("graph", "runway_id", "transition_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "fix", "path_terminator"))).alias("legs"))
-    return whole.select("graph", "runway_id", "transition_id", F.posexplode(graph.visited_once(F.col("legs"))).alias("i", "leg")).select("graph", "runway_id", "transition_id", ((F.col("i") + 1) * 10).alias("display_sequence"), "leg.fix", "leg.path_terminator")
+    kept = graph.flown(parts, ["graph", "runway_id", "transition_id"], ["part", "seq", "fix", "path_terminator"])
+    return kept.select("graph", "runway_id", "transition_id", (F.col("place") * 10).alias("display_sequence"), "fix", "path_terminator")
 
 
 _TOPO = """a AS (SELECT DISTINCT s_nationkey % 5 AS graph, 'B' || (s_suppkey % 17) AS name FROM supplier), b AS (SELECT DISTINCT c_nationkey % 5 AS graph, 'B' || (c_custkey % 12 * 2) AS name FROM customer WHERE c_mktsegment = 'BUILDING')"""

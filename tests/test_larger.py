@@ -96,3 +96,9 @@ def test_long_routes_are_not_gathered(spark):
     whole = legs.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("i", "fix", "path_terminator"))).alias("l"))
     expected = whole.select("r", F.posexplode(graph.visited_once(F.col("l"))).alias("at", "x")).select("r", F.col("at") + 1, "x.i").collect()
     assert sorted(map(tuple, graph.flown(legs, ["r"], ["i"]).select("r", "place", "i").collect())) == sorted(map(tuple, expected))
+
+
+def test_plans_are_made_without_the_legs_of_records(spark):
+    """Each package has the legs of many records, which only its parts need."""
+    plan = lambda name: catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan()
+    assert "collect_list" not in plan("render_plan").toString()

@@ -102,3 +102,8 @@ def test_plans_are_made_without_the_legs_of_records(spark):
     """Each package has the legs of many records, which only its parts need."""
     plan = lambda name: catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan()
     assert "collect_list" not in plan("render_plan").toString()
+
+
+def test_legs_of_records_join_parts_after_all_windows(spark):
+    text = catalog.QUERIES["render_parts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("collect_list") == 1 and text.index("Window ") < text.index("collect_list")

@@ -107,3 +107,9 @@ def test_plans_are_made_without_the_legs_of_records(spark):
 def test_legs_of_records_join_parts_after_all_windows(spark):
     text = catalog.QUERIES["render_parts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("collect_list") == 1 and text.index("Window ") < text.index("collect_list")
+
+
+def test_answers_are_typed_once(spark):
+    text = catalog.QUERIES["normalized_answers"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in text.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("variant" in line for line in filters)

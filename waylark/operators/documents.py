@@ -49,39 +49,53 @@ class Rule:
 TYPES = {"text": "string", "number": "double", "integer": "int", "boolean": "boolean", "texts": "array<string>", "numbers": "array<int>"}
 
 
-def _typed(v: Column, rule: Rule, path: str) -> Column:
-    """The value at a path if it is of the kind; texts of digits are numbers too, as a model may quote them."""
-    at = F.try_variant_get(v, path, "variant")
-    kind = F.schema_of_variant(at)
-    text = F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
-    number = F.when(~kind.rlike("^(BOOLEAN|VOID|ARRAY|OBJECT)"), F.try_variant_get(v, path, "string")).try_cast("double")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once; within lambdas Spark shares no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _read(at: Column, rule: Rule) -> Column:
+    """What a rule needs of the value at a path, null where nothing stands there: its kind and its text, and a number's value."""
+    text = F.try_variant_get(at, "$", "string")
+    parts = [F.schema_of_variant(at).alias("kind"), text.alias("text")]
+    if rule.kind in ("number", "integer"):
+        parts.append(text.try_cast("double").alias("number"))
+    if rule.kind in ("boolean", "texts", "numbers"):
+        parts[1] = at.alias("at")
+    return F.when(at.isNotNull(), F.struct(*parts))
+
+
+def _typed(x: Column, rule: Rule) -> Column:
+    """The value of what ``_read`` gives if it is of the kind; texts of digits are numbers too, as a model may quote them."""
+    kind = x["kind"]
     if rule.kind == "text":
-        return text
-    if rule.kind == "number":
-        return number
-    if rule.kind == "integer":
-        return F.when((number == F.floor(number)) & (number >= 1), number.cast("int"))
+        return F.when(kind == "STRING", x["text"])
+    if rule.kind in ("number", "integer"):
+        plain = ~kind.rlike("^(BOOLEAN|VOID|ARRAY|OBJECT)")
+        if rule.kind == "number":
+            return F.when(plain, x["number"])
+        return F.when(plain & (x["number"] == F.floor(x["number"])) & (x["number"] >= 1), x["number"].cast("int"))
     if rule.kind == "boolean":
-        return F.when(kind == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+        return F.when(kind == "BOOLEAN", F.try_variant_get(x["at"], "$", "boolean"))
     if rule.kind in ("texts", "numbers"):
-        each = F.try_variant_get(v, path, "array<variant>")
-        texts = F.filter(F.transform(each, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))), lambda x: x.isNotNull())
-        whole = F.filter(F.transform(each, lambda x: F.try_variant_get(x, "$", "string").try_cast("double")), lambda x: x.isNotNull() & (x == F.floor(x)))
-        return texts if rule.kind == "texts" else F.transform(whole, lambda x: x.cast("int"))
-    return F.when(text.rlike(f"^(?:{rule.kind})$"), text)
+        each = F.try_variant_get(x["at"], "$", "array<variant>")
+        texts = F.filter(F.transform(each, lambda y: F.when(F.schema_of_variant(y) == "STRING", F.try_variant_get(y, "$", "string"))), lambda y: y.isNotNull())
+        whole = F.filter(F.transform(each, lambda y: F.try_variant_get(y, "$", "string").try_cast("double")), lambda y: y.isNotNull() & (y == F.floor(y)))
+        return texts if rule.kind == "texts" else F.transform(whole, lambda y: y.cast("int"))
+    return F.when((kind == "STRING") & x["text"].rlike(f"^(?:{rule.kind})$"), x["text"])
 
 
 def typed(v: Column, rules: Sequence[Rule]) -> Column:
-    """struct(x: the fields, r: array of repairs) of a VARIANT: a repair names a field that stands under its first path but couldn't be used as it is, or was taken from another path. Each path is looked up once."""
-
-    def seen(r: Rule) -> Column:
-        first = F.schema_of_variant(F.try_variant_get(v, r.paths[0], "variant"))
-        return F.struct(*[_typed(v, r, p).alias(f"v{i}") for i, p in enumerate(r.paths)], F.coalesce(first != "VOID", F.lit(False)).alias("there")).alias(r.name)
+    """struct(x: the fields, r: array of repairs) of a VARIANT: a repair names a field that stands under its first path but couldn't be used as it is, or was taken from another path. Each path is looked up once, and what stands there is read once."""
+    paths = lambda r: [f"v{i}" for i in range(len(r.paths))]
+    looked = F.struct(*[F.struct(*[F.try_variant_get(v, p, "variant").alias(n) for n, p in zip(paths(r), r.paths)]).alias(r.name) for r in rules])
+    read = lambda s: F.struct(*[F.struct(*[_read(s[r.name][n], r).alias(n) for n in paths(r)]).alias(r.name) for r in rules])
+    values = lambda s: F.struct(*[F.struct(*[_typed(s[r.name][n], r).alias(n) for n in paths(r)], F.coalesce(s[r.name]["v0"]["kind"] != "VOID", F.lit(False)).alias("there")).alias(r.name) for r in rules])
 
     def settled(s: Column) -> Column:
         fields, repairs = [], []
         for r in rules:
-            values = [s[r.name][f"v{i}"] for i in range(len(r.paths))]
+            values = [s[r.name][n] for n in paths(r)]
             kind = TYPES.get(r.kind, "string")
             default = F.array(*map(F.lit, r.otherwise)).cast(kind) if isinstance(r.otherwise, tuple) else F.lit(r.otherwise).cast(kind)
             fields.append(F.coalesce(*values, default).alias(r.name))
@@ -89,7 +103,7 @@ def typed(v: Column, rules: Sequence[Rule]) -> Column:
             repairs.append(F.when(values[0].isNull(), F.when(s[r.name]["there"], F.lit(f"{r.name}: unusable")).when(other, F.lit(f"{r.name}: from another field"))))
         return F.struct(F.struct(*fields).alias("x"), F.array_compact(F.array(*repairs)).alias("r"))
 
-    return F.get(F.transform(F.array(F.struct(*[seen(r) for r in rules])), settled), F.lit(0))
+    return let(looked, lambda s: let(read(s), lambda t: let(values(t), settled)))
 
 
 def _of(*paths: str) -> tuple[str, ...]:

@@ -184,5 +184,5 @@ def normalized_answers(spark, sf_dir):
     number = lambda x: F.coalesce(x.cast("long").cast("string"), F.lit(""))
     altitude = lambda a: F.when(a.isNotNull(), F.concat_ws(":", F.coalesce(a["kind"], F.lit("")), number(a["altitude_ft"]), number(a["lower_ft"]), number(a["upper_ft"]))).otherwise("")
     leg = lambda x: F.concat_ws(":", x["sequence"].cast("string"), x["fix"], F.coalesce(x["turn"], F.lit("")), altitude(x["altitude"]), x["derivation"])
-    rows = n.select("task", "airport", "package", F.col("confidence").alias("answer_confidence"), F.size("repairs").cast("long").alias("repairs"), F.explode("procedures").alias("p"))
+    rows = n.select("task", "airport", "package", F.col("confidence").alias("answer_confidence"), F.size("repairs").cast("long").alias("repairs"), F.explode_outer("procedures").alias("p")).where("p is not null")  # an inner one would be filtered for rows first, which types all legs again for each name
     return rows.select("task", "airport", "package", "answer_confidence", "p.name", "p.runway", "p.transition", F.array_join(F.transform("p.legs", leg), ";").alias("legs"), round_half_up(F.col("p.confidence"), 6).alias("confidence"), "p.review", "repairs")
